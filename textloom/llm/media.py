@@ -119,6 +119,8 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
             dx, dy = p[:, 0] - p[k, 0], p[:, 1] - p[k, 1]
             off = np.hypot(c * dx - s * dy + q[k, 0] - q[:, 0], s * dx + c * dy + q[k, 1] - q[:, 1])
             follow = off < 3.0
+            if np.count_nonzero(follow) <= most:
+                continue
             most = max(most, min(len(np.unique(np.rint(p[follow, :2] / 2), axis=0)), len(np.unique(np.rint(q[follow, :2] / 2), axis=0))))
     return most
 
@@ -191,14 +193,9 @@ SIDE = 96
 
 
 def render(vector: np.ndarray) -> np.ndarray:
-    """A raster that depends on a vector alone: overlapping boxes whose places follow from the vector's digest."""
+    """A raster that depends on a vector alone: a coarse random grid from the vector's digest, drawn out smoothly."""
     rng = np.random.default_rng(list(hashlib.sha256(vector.astype("<f4").tobytes()).digest()))
-    image = np.full((SIDE, SIDE), 120.0)
-    for _ in range(26):
-        x, y = rng.integers(0, SIDE - 8, 2)
-        w, h = rng.integers(8, 34, 2)
-        image[y : y + h, x : x + w] = rng.integers(10, 245)
-    return image.astype(np.uint8)
+    return np.clip(resize(rng.uniform(0, 255, (SIDE // 4, SIDE // 4)), 4.0), 0, 255).astype(np.uint8)
 
 
 def edited(image: np.ndarray, draw: int) -> np.ndarray:
