@@ -1,0 +1,205 @@
+"""Structure of a text: repetition, density and layout rules, dash classes, and the procedural policy rules.
+
+Each function takes prepared documents (doc_id, text, masked, spans, format) and gives rows (doc_id, rule_id, detail); all
+but the openings of sentences need no shuffle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+from textloom.functions import registry as R
+from textloom.functions import text as T
+
+# Word lists and limits of the structural rules.
+STOPWORDS = "a an and are as at be because been but by for from had has have he her his i in is it its of on or our she that the their them they this to was we were will with you your".split()
+REVELATIONS = ["but there is a catch", "the real issue is", "the deeper problem is", "the surprising part is", "that is where things get interesting", "here's why", "here is why", "here's how", "here is how", "here's what matters", "here is what matters", "here's the thing", "here is the thing"]
+EXAMPLES = ["imagine a world where", "picture this", "consider a scenario in which", "suppose you are", "for example, imagine", "take the case of", "think of it as", "a useful analogy is", "to illustrate", "in practical terms", "in real-world applications"]
+UNCONTRACTED = {"do not": "don't", "does not": "doesn't", "did not": "didn't", "cannot": "can't", "can not": "can't", "will not": "won't", "would not": "wouldn't", "is not": "isn't", "are not": "aren't", "was not": "wasn't", "were not": "weren't", "i am": "I'm", "we are": "we're", "you are": "you're", "they are": "they're", "it is": "it's", "that is": "that's", "there is": "there's"}
+NUMBER_WORDS = r"\b(?:two|three|four|five|six|seven|eight|nine|ten)\b"
+TRIAD = r"(?<![,;])\b[^,;.!?\n:]{1,45},\s+[^,;.!?\n:]{1,45},\s+(?:and|or)\s+[^,;.!?\n:]{1,45}(?=[.!?;]|$)"
+BULLET = r"^\s*(?:[-*+]|\d+[.)])\s+"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+MINOR = "a|an|and|as|at|but|by|for|from|in|of|on|or|the|to|vs|with"
+# End of fixed values.
+
+
+def _rows(docs: DataFrame, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row for each rule that fires in a document."""
+    fired = F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule_id"), detail.cast("string").alias("detail"))) for rule, (when, detail) in tests.items()])
+    return docs.select("doc_id", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.rule_id", "x.detail")
+
+
+def measured(prepared: DataFrame) -> DataFrame:
+    """Sentences, paragraphs, lines and bullets of the masked text as columns."""
+    m = F.col("masked")
+    out = T.once(T.once(T.once(prepared, "sentences", T.sentences(m)), "paragraphs", T.paragraphs(m)), "lines", F.split(m, "\n"))
+    out = T.once(out, "words", F.greatest(F.lit(1), T.word_count(m)))
+    return T.once(out, "bullets", F.transform(F.filter("lines", lambda x: x.rlike(BULLET + r"\S")), lambda x: F.regexp_replace(x, BULLET, "")))
+
+
+def bullet_blocks(lines: Column) -> Column:
+    """Sizes of the runs of bullet lines."""
+    marks = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(BULLET + r"\S"), "b").otherwise("-")), "")
+    return F.transform(F.regexp_extract_all(marks, F.lit("b+"), F.lit(0)), F.length)
+
+
+def structural(prepared: DataFrame) -> DataFrame:
+    """Repetition, architecture and density rules of the scored layer."""
+    d = measured(prepared)
+    s, p, words, masked = F.col("sentences"), F.col("paragraphs"), F.col("words"), F.col("masked")
+    n = F.size(s)
+    d = T.once(T.once(d, "long", F.filter(F.transform(s, T.word_count), lambda x: x >= 4)), "wide", F.filter(F.transform(p, T.word_count), lambda x: x >= 8))
+    long, wide = F.col("long"), F.col("wide")
+    starts = lambda pattern: F.size(F.filter(s, lambda x: x.rlike("(?iU)^\\W*" + pattern)))
+    headings = T.count(masked, r"^#{1,6}\s+\S", "m")
+    blocks = F.size(F.filter(bullet_blocks(F.col("lines")), lambda x: x == 3))
+    bullets = F.col("bullets")
+    labelled = F.size(F.filter(bullets, lambda x: x.rlike(r"^\*\*[^*]+(?::\*\*|\*\*\s*:)")))
+    heads = F.transform(bullets, lambda x: F.lower(F.regexp_extract(x, r"(?U)[\w’'-]+", 0)))
+    top = F.array_max(F.transform(F.array_distinct(heads), lambda h: F.size(F.filter(heads, lambda x: x == h))))
+    revelation = "|".join(R.literal(x) for x in REVELATIONS)
+    pivots = F.size(F.filter(p, lambda x: T.word_count(x).between(1, 8) & (F.size(T.sentences(x)) <= 1) & (x.endswith("?") | x.rlike("(?iU)" + revelation))))
+    fragments = F.size(F.filter(p, lambda x: x.rlike(r"(?iU)^(?:the|a|your|our|one)\s+[^?\n]{1,60}\?\z")))
+    conjunctions, participles = starts(r"(?:and|but|so|or|yet)\b"), F.size(F.filter(s, lambda x: x.rlike(r"(?iU)^\W*\w+ing\b.{0,95}?,")))
+    nominal = T.count(masked, r"\b(?:" + "|".join(R.NOM) + r")\b")
+    colons, dashes = T.count(masked, r":(?!//)"), T.count(masked, "—")
+    endings = F.size(F.filter(p, lambda x: F.coalesce(F.try_element_at(T.sentences(x), F.lit(-1)), F.lit("")).rlike(r"(?iU)^(?:this|that|these|it)\s+(?:means|suggests|shows|highlights|underscores|demonstrates|reflects|points\s+to)\b")))
+    vague = F.size(F.filter(s, lambda x: x.rlike("(?iU)^\\W*(?:" + "|".join(e.replace(" ", r"\s+") for e in EXAMPLES) + r")\b") & ~x.rlike(r"\d") & ~x.rlike(r"(?<=[a-z,]\s)[A-Z][a-z]{2,}")))
+    consensus = F.filter(T.find(masked, r"\b(?:experts|researchers|scientists|studies|research)\s+(?:agree|say|show|suggest|indicate)s?\b", "iU"), lambda m: ~T.near_source(F.col("text"), m.start, m.end))
+    return _rows(
+        d,
+        {
+            "STRUCT_UNIFORM_SENTENCE_LENGTH": ((F.size(long) >= 8) & (T.mean(long) >= 8) & (T.variation(long) <= 0.22), F.size(long)),
+            "STRUCT_UNIFORM_PARAGRAPH_LENGTH": ((F.size(wide) >= 5) & (T.mean(wide) >= 20) & (T.variation(wide) <= 0.20), F.size(wide)),
+            "STRUCT_EXCESSIVE_HEADINGS": ((headings >= 4) & (words / headings < 85), headings),
+            "STRUCT_THREE_ITEM_BLOCKS": (blocks >= 2, blocks),
+            "STRUCT_BOLD_LABEL_BULLETS": ((F.size(bullets) >= 4) & (labelled >= 3) & (labelled / F.size(bullets) >= 0.6), labelled),
+            "STRUCT_DRAMATIC_PIVOT_PARAGRAPHS": (pivots >= 3, pivots),
+            "STRUCT_QUESTION_FRAGMENTS": (fragments >= 2, fragments),
+            "STRUCT_HERES_REPETITION": (starts(r"here(?:['’]s|\s+is)\b") >= 3, starts(r"here(?:['’]s|\s+is)\b")),
+            "STRUCT_CONTROLLED_REVELATION": (T.count(masked, revelation) >= 3, T.count(masked, revelation)),
+            "STRUCT_INITIAL_CONJUNCTIONS": ((n >= 8) & (conjunctions >= 3) & (conjunctions / n >= 0.35), conjunctions),
+            "STRUCT_PARTICIPIAL_OPENINGS": ((n >= 6) & (participles >= 3) & (participles / n >= 0.25), participles),
+            "STRUCT_NOMINALIZATION_DENSITY": ((nominal >= 5) & (nominal / words >= 0.04), nominal),
+            "STRUCT_COLON_DENSITY": ((colons >= 4) & (colons * 1000 / words >= 12), colons),
+            "STRUCT_EM_DASH_DENSITY": ((dashes >= 3) & (dashes * 1000 / words >= 8), dashes),
+            "STRUCT_BULLET_UNIFORMITY": ((F.size(bullets) >= 5) & ((T.variation(F.transform(bullets, T.word_count)) <= 0.18) | (top / F.size(bullets) >= 0.6)), F.size(bullets)),
+            "STRUCT_PARAGRAPH_ENDING_FORMULA": (endings >= 3, endings),
+            "STRUCT_GENERIC_EXAMPLE_WITHOUT_DETAIL": (vague >= 1, vague),
+            "STRUCT_UNSUPPORTED_CONSENSUS": (F.size(consensus) >= 1, F.size(consensus)),
+        },
+    )
+
+
+def repeated_openings(prepared: DataFrame, least: int = 3) -> DataFrame:
+    """Rows (doc_id, opening, n): two lower-cased first words that ``least`` sentences of a document share."""
+    heads = F.transform(T.sentences(F.col("masked")), lambda x: F.slice(F.regexp_extract_all(F.lower(x), F.lit(T.WORD), F.lit(0)), 1, 2))
+    each = prepared.select("doc_id", F.explode(F.filter(heads, lambda h: F.size(h) == 2)).alias("h"))
+    return each.groupBy("doc_id", F.array_join("h", " ").alias("opening")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of two texts' characters in common blocks, as difflib has it."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else np.nan for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(StringType())
+def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Unified diff of two texts by lines."""
+    import difflib
+
+    return pd.Series(["".join(difflib.unified_diff((x or "").splitlines(True), (y or "").splitlines(True), "original", "refined")) for x, y in zip(a, b, strict=True)])
+
+
+def intro_conclusion(prepared: DataFrame) -> DataFrame:
+    """Documents whose last long paragraph restates the first: token sets first, the character ratio on those left."""
+    p = F.filter(T.paragraphs(F.col("masked")), lambda x: T.word_count(x) >= 20)
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    tokens = lambda x: F.array_distinct(F.filter(F.array_except(F.regexp_extract_all(F.lower(x), F.lit(T.WORD), F.lit(0)), stop), lambda t: F.length(t) > 2))
+    d = prepared.select("doc_id", p.alias("p")).where(F.size("p") >= 4).select("doc_id", F.get("p", F.lit(0)).alias("a"), F.element_at("p", -1).alias("b"))
+    d = d.withColumn("jaccard", F.size(F.array_intersect(tokens(F.col("a")), tokens(F.col("b")))) / F.size(F.array_union(tokens(F.col("a")), tokens(F.col("b")))))
+    return d.where("jaccard >= 0.42").withColumn("ratio", ratio("a", "b")).where("ratio >= 0.55").select("doc_id", "jaccard", "ratio")
+
+
+def procedural(prepared: DataFrame) -> DataFrame:
+    """Procedural rules of the graded layer."""
+    text, masked, spans = F.col("text"), F.col("masked"), F.col("spans")
+    markdown = F.col("format") == "markdown"
+    free = lambda found: F.filter(found, lambda m: ~F.exists(spans, lambda s: (m.start < s.end) & (m.end > s.start) & (s.xa | s.kind.contains("quoted_text"))))
+    long = F.filter(F.transform(T.paragraphs(masked), lambda p: F.size(T.sentences(p))), lambda n: n > 3)
+    headings = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*$"), F.lit(1)), title_case)
+    sections = F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,6}[ \t])"), lambda x: T.count(x, r"\*\*[^*\n]+\*\*", "U")), lambda n: n > 2)
+    numbers = F.filter(T.find(masked, NUMBER_WORDS, "iU"), lambda m: ~T.window(masked, m.start, m.end, 20, 25).rlike("(?i)one or ") & ~T.window(masked, m.start, m.start, 20, 0).rlike(r"(?iU)\b(?:between|either|both)\s+\z"))
+    forms = free(T.find(masked, r"\b(?:" + "|".join(sorted(UNCONTRACTED, key=len, reverse=True)) + r")\b", "iU"))
+    triads = F.filter(free(T.find(masked, TRIAD, "iU")), lambda m: ~F.exists(F.split(m.text, ","), lambda part: T.word_count(part) > 9))
+    words = T.word_count(masked)
+    concrete = T.count(masked, T.NUMBER, "U") + T.count(text, r"(?<![.!?]\s)\b[A-Z][a-z]{2,}\b", "U") + T.count(text, r"[“\"][^”\"\n]{3,80}[”\"]", "U") + T.count(text, r"\b(?:19|20)\d{2}\b|\b(?:" + MONTHS + r")\b", "U")
+    dashes = free(T.find(text, "—"))
+    return _rows(
+        prepared,
+        {
+            "VD_EM_DASH": (F.size(dashes) > 0, F.size(dashes)),
+            "VD_LONG_PARAGRAPH": (F.size(long) > 0, F.size(long)),
+            "VD_TITLE_CASE_HEADING": (markdown & (F.size(headings) > 0), F.size(headings)),
+            "VD_BOLD_DENSITY": (markdown & (F.size(sections) > 0), F.size(sections)),
+            "VD_NUMBER_WORD": (F.size(numbers) > 0, F.size(numbers)),
+            "VD_UNCONTRACTED_FORM": (F.size(forms) > 0, F.size(forms)),
+            "VD_RULE_OF_THREE": (F.size(triads) > 0, F.size(triads)),
+            "VD_LOW_SPECIFICITY": ((words >= 180) & (concrete <= F.greatest(F.lit(2), F.floor(words / 180))), concrete),
+            "VD_NO_DIRECT_ADDRESS": ((words >= 180) & (T.count(masked, T.ADDRESS) == 0), F.lit(0)),
+        },
+    )
+
+
+def title_case(heading: Column) -> Column:
+    """At least three words, minor ones aside, of which 80 % start with a capital."""
+    words = F.regexp_extract_all(heading, F.lit(r"(?U)[\w’'-]+"), F.lit(0))
+    major = F.filter(words, lambda w: ~F.lower(w).rlike(f"^(?:{MINOR})$"))
+    capital = F.size(F.filter(major, lambda w: w.rlike(r"^\p{Lu}")))
+    return (F.size(words) >= 3) & (F.size(major) > 0) & (capital >= 0.8 * F.size(major))
+
+
+# Word lists of the dash classes.
+BREAKING = r"(?:actually|well|wait|sorry|rather|no|i mean|more precisely|at least)\b"
+LISTING = r"\b(?:items|things|factors|elements|options|steps|reasons|parts|points|components|features|examples|tools|categories|questions|goals|priorities)\s*\z"
+EXPLAINING = r"\b(?:explanation|reason|answer|problem|result|point|goal|cause|truth|question|issue|is|was|are)\s*\z"
+SUBJECT = r"^\s*(?:i|you|he|she|it|we|they|this|that|these|those|there|the\s+\w+|an?\s+\w+|[A-Z]\w+)\b"
+VERB = r"\b(?:is|are|was|were|am|be|has|have|had|do|does|did|can|could|will|would|should|may|might|must|\w+(?:ed|es|s))\b"
+# End of fixed values.
+
+
+def clause(part: Column) -> Column:
+    """Whether a part of a sentence could stand alone: three words, a subject and a finite verb."""
+    return (T.word_count(part) >= 3) & part.rlike("(?iU)" + SUBJECT) & part.rlike("(?iU)" + VERB)
+
+
+def dashes(prepared: DataFrame) -> DataFrame:
+    """Rows (doc_id, sentence, rule_id, suggestion) for the em dashes of each sentence, a pair as one."""
+    s = prepared.select("doc_id", F.explode(T.sentences(F.col("masked"))).alias("sentence")).where(F.col("sentence").contains("—"))
+    parts = F.split("sentence", "—")
+    paired = (F.size(parts) == 3) & ~F.exists(parts, lambda p: F.trim(p) == "") & (T.word_count(F.get(parts, F.lit(1))) <= 20) & ~F.get(parts, F.lit(1)).rlike("[!?]")
+    s = s.withColumn("parts", parts).withColumn("paired", paired)
+    at = F.explode(F.when(F.col("paired"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("parts") - 2)))
+    one = s.select("doc_id", "sentence", "paired", "parts", at.alias("i"))
+    left, right = F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "—"), F.array_join(F.slice("parts", F.col("i") + 2, F.size("parts")), "—")
+    one = one.withColumn("left", left).withColumn("right", right)
+    l, r = F.col("left"), F.col("right")
+    kind = (
+        F.when(F.col("paired"), "PAIRED_PARENTHETICAL").when(l.rlike(r"\d\s*\z") & r.rlike(r"^\s*\d"), "NUMERIC_RANGE").when((F.trim(l) == "") & r.rlike(r"^\s*(?:[A-Z][\w.'’-]*\s*){1,5}\z"), "ATTRIBUTION").when(r.rlike("(?iU)^\\s*" + BREAKING), "INTERRUPTION")
+        .when(clause(l) & clause(r), "INDEPENDENT_CLAUSES").when(r.rlike("[,;]") & l.rlike("(?iU)" + LISTING), "LIST_INTRODUCTION").when(l.rlike("(?iU)" + EXPLAINING) & ~clause(r), "APPOSITIONAL").otherwise("AMBIGUOUS")
+    )
+    one = one.withColumn("kind", kind)
+    trimmed = lambda mark: F.concat(F.rtrim(l), F.lit(mark), F.ltrim(r))
+    k = F.col("kind")
+    suggestion = F.when(k == "PAIRED_PARENTHETICAL", F.array_join(F.transform("parts", F.trim), ", ")).when(k == "NUMERIC_RANGE", trimmed("–")).when(k == "INDEPENDENT_CLAUSES", trimmed("; ")).when(k.isin("LIST_INTRODUCTION", "APPOSITIONAL"), trimmed(": "))
+    return one.select("doc_id", "sentence", F.concat(F.lit("EMDASH_"), k).alias("rule_id"), suggestion.alias("suggestion"))
+
+

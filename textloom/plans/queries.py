@@ -1,4 +1,8 @@
-"""The library's own queries (filled in below by family)."""
+"""The library's own queries over the corpus tables, and their SQL.
+
+``conversations`` and ``documents`` are invented prose in which few phrases of the rules occur, so queries on phrases
+run over ``documents`` with one rule's phrase put after each text, chosen by the id; the SQL does the same.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,219 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from textloom.functions import registry as R
+from textloom.functions import text as T
+from textloom.operators import audit, structure
+
+#: Phrases that are put after documents, fixed by the registry.
+PHRASES = [*R.VD_PHRASE, *R.CORP, *R.HOLLOW, *R.IMP, *R.VD_WORD[:40], *(p for p, _ in R.META)]
+LITERALS = [p.replace("'", "''") for p in PHRASES]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): each document with the phrase of its id's turn after it, three times for every fifth."""
+    d = _docs(spark, sf_dir)
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    said = F.concat(F.lit("\n\nWe note: "), phrase, F.lit(" and so on."))
+    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.repeat(said, F.when(F.col("doc_id") % 5 == 0, 3).otherwise(1))).alias("text"))
+
+
+_PHRASED = "SELECT doc_id, coalesce(text, '') || repeat(chr(10) || chr(10) || 'We note: ' || ([" + ", ".join(f"'{p}'" for p in LITERALS) + f"])[(doc_id % {len(PHRASES)}) + 1] || ' and so on.', CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END) AS text FROM documents"
+
+_W = r"[\p{L}\p{M}\p{N}_][\p{L}\p{M}\p{N}_’''-]*"
+_PARA = r"'(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)'"
+_SENT = rf"""
+x AS (SELECT doc_id, regexp_replace(text, '(^|[^A-Za-z.])((?i:mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|fig|eq)|[A-Za-z])\.', '\1\2', 'g') AS t FROM base),
+pieces AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(t, '([.!?]["''”’)\]}}]*)(\s+|$)', '\1' || chr(1), 'g'), chr(1) || '|(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)')) AS s FROM x),
+sents AS (SELECT doc_id, s FROM pieces WHERE regexp_matches(s, '[\p{{L}}\p{{M}}\p{{N}}_]'))"""
+
+
+def _counts(name: str, spark: SparkSession, sf_dir: str, pattern: str, flags: str = "iU") -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir).select("doc_id", T.count(t, pattern, flags).cast("long").alias(name))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir).select("doc_id", T.word_count(t).cast("long").alias("words"), F.length(t).cast("long").alias("chars"), F.size(T.paragraphs(t)).cast("long").alias("paragraphs"))
+
+
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("sentences"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters per language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    """Per language: documents, those with a paragraph of over three sentences, words and sentences."""
+    t = F.coalesce("text", F.lit(""))
+    d = _docs(spark, sf_dir).select("lang", T.word_count(t).alias("w"), F.size(T.sentences(t)).alias("s"), F.exists(T.paragraphs(t), lambda p: F.size(T.sentences(p)) > 3).alias("long"))
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("long").alias("long_docs"), F.sum("w").cast("long").alias("words"), F.sum("s").cast("long").alias("sentences"))
+
+
+def address_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir).select("doc_id", T.count(t, T.EMAIL).cast("long").alias("emails"), T.count(t, T.URL).cast("long").alias("urls"), T.count(t, r"\d+", "").cast("long").alias("digit_runs"))
+
+
+def texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit.texture(_docs(spark, sf_dir))
+    return out.select("doc_id", F.col("sentences").cast("long").alias("sentences"), F.col("sentence_word_min").cast("long").alias("sentence_word_min"), F.col("sentence_word_max").cast("long").alias("sentence_word_max"), F.col("direct_address_count").cast("long").alias("direct_address"), F.col("parenthetical_count").cast("long").alias("parentheticals"))
+
+
+def repeated_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("masked"))
+    return structure.repeated_openings(d)
+
+
+def repeated_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts("runs", spark, sf_dir, "!{2,}")
+
+
+def false_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts("ranges", spark, sf_dir, dict((r, p) for r, _, p in R.VD_STRONG)["VD_FALSE_RANGE"])
+
+
+def uncontracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts("forms", spark, sf_dir, r"(?<!\w)(?:" + "|".join(sorted(structure.UNCONTRACTED, key=len, reverse=True)) + r")(?!\w)")
+
+
+def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = [r for r in R.policy_rules() if r.rule_id.startswith(("VD_WORD_", "VD_PHRASE")) and "VARIANT" not in r.rule_id]
+    return audit.policy_findings(audit.prepare(_phrased(spark, sf_dir), fmt="plain"), chosen)
+
+
+def _style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = [r for r in R.style_rules() if r.rule_id.startswith(("CORP", "HOLLOW", "META", "IMP"))]
+    return audit.style_findings(audit.prepare(_phrased(spark, sf_dir), fmt="plain"), chosen)
+
+
+def policy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and matches per policy rule."""
+    return _policy(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def style_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _style(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit.gate(_docs(spark, sf_dir), _policy(spark, sf_dir))
+    return out.select("doc_id", F.col("finding_count").cast("long").alias("finding_count"), F.col("failure_count").cast("long").alias("failure_count"), "status")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.counters(_style(spark, sf_dir)).where("key = 'category'")
+    return found.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _phrased(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("words"))
+    out = audit.dimension_scores(docs, audit.deduplicate(_style(spark, sf_dir)))
+    return out.select("doc_id", "dimension", F.round("score", 6).alias("score"), "finding_count", "band")
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.rule_table(spark)
+    return t.groupBy("layer", "category").agg(F.count("*").alias("rules"), F.count_if(F.col("pattern").isNull()).alias("procedural"))
+
+
+def exact_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.deduplicate(_style(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def cross_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = audit.across_layers(_policy(spark, sf_dir), _style(spark, sf_dir))
+    return left.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def procedural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per procedural policy rule."""
+    return structure.procedural(audit.prepare(_docs(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("docs"))
+
+
+def structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.structural(audit.prepare(_docs(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("docs"))
+
+
+def intro_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.intro_conclusion(audit.prepare(_docs(spark, sf_dir)))
+
+
+def dash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nThe study ran from 2019—2024. The trial—which lasted six weeks—ended well.")).alias("text"))
+    return structure.dashes(audit.prepare(d, fmt="plain")).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def safe_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("It is important to note that we stop!! In order to test it, they may potentially go.\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z .\n]", "")).alias("text"))
+    out = audit.safe_edits(audit.prepare(d, fmt="plain"))
+    return out.select("doc_id", F.length("refined").cast("long").alias("chars"), F.md5("refined").alias("refined_md5"))
+
+
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
+    return d.groupBy(T.detect_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
+
+
+def protected_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their protected spans: how many, and the share of edit-protected characters."""
+    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    p = audit.prepare(d, fmt="html")
+    size = F.aggregate("spans", F.lit(0), lambda s, x: s + F.when(x.xe, x.end - x.start).otherwise(0))
+    return p.select("doc_id", F.size("spans").cast("long").alias("spans"), F.round(size / F.greatest(F.lit(1), F.length("text")), 4).alias("share"), F.length("masked").cast("long").alias("chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "long_paragraphs_by_language": flagship, "word_counts": word_counts, "sentence_counts": sentence_counts, "address_counts": address_counts, "texture": texture, "repeated_openings": repeated_openings, "repeated_marks": repeated_marks,
+    "false_ranges": false_ranges, "uncontracted_forms": uncontracted, "policy_scan": policy_scan, "style_scan": style_scan, "policy_gate": policy_gate, "category_counts": category_counts, "dimension_scores": dimension_scores, "rule_catalogue": catalogue,
+    "exact_span_dedup": exact_span_dedup, "cross_layer_dedup": cross_layer, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "intro_conclusion": intro_conclusion, "dash_classes": dash_classes, "safe_edits": safe_edits, "formats": formats, "protected_spans": protected_share,
+}
+
+_B = "(^|[^\\p{L}\\p{M}\\p{N}_])"
+
+
+def _rule_values(prefixes: tuple[str, ...]) -> str:
+    """Rules of literal phrases as VALUES (rule_id, category, weight, RE2 pattern)."""
+    rows = []
+    for r in R.rules():
+        if r.rule_id.startswith(prefixes) and "VARIANT" not in r.rule_id and r.pattern:
+            body = r.pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b").replace("'", "''")
+            rows.append(f"('{r.rule_id}', '{r.category}', {r.weight}::DOUBLE, '(?i){body}')")
+    return "(VALUES " + ", ".join(rows) + ") r(rule_id, category, weight, pattern)"
+
+
+def _matches(prefixes: tuple[str, ...]) -> str:
+    return f"p AS ({_PHRASED}), hits AS (SELECT doc_id, rule_id, category, weight, len(regexp_extract_all(text, pattern)) AS n FROM p, {_rule_values(prefixes)} WHERE regexp_matches(text, pattern))"
+
+
+_POLICY, _STYLE = ("VD_WORD_", "VD_PHRASE"), ("CORP", "HOLLOW", "META", "IMP")
+_BASE = "base AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)"
+
+SQL: dict[str, str] = {
+    "long_paragraphs_by_language": f"""WITH base AS (SELECT row_number() OVER () AS doc_id, lang, p.text, p.d FROM (SELECT doc_id AS d, lang, unnest(string_split_regex(coalesce(text, ''), {_PARA})) AS text FROM documents) p),
+{_SENT}, n AS (SELECT base.d, base.lang, base.doc_id, count(s) AS s FROM base LEFT JOIN sents USING (doc_id) GROUP BY ALL), per AS (SELECT d, lang, sum(s) AS s, max(s) > 3 AS long FROM n GROUP BY ALL),
+w AS (SELECT doc_id AS d, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS w FROM documents)
+SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE long) AS long_docs, sum(w)::BIGINT AS words, sum(s)::BIGINT AS sentences FROM per JOIN w USING (d) GROUP BY lang""",
+    "word_counts": f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_W}'))::BIGINT AS words, length(coalesce(text, ''))::BIGINT AS chars, len(list_filter(string_split_regex(coalesce(text, ''), {_PARA}), lambda x: regexp_matches(x, '\\S')))::BIGINT AS paragraphs FROM documents",
+    "sentence_counts": f"WITH {_BASE}, {_SENT} SELECT base.doc_id, count(s) AS sentences FROM base LEFT JOIN sents USING (doc_id) GROUP BY 1",
+    "address_counts": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)[\p{L}\p{N}_.+-]+@(?:[\p{L}\p{N}_-]+\.)+[A-Za-z]{2,}'))::BIGINT AS emails, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(?:https?://|ftp://|www\.)[^\s<>()\[\]{}]+'))::BIGINT AS urls, len(regexp_extract_all(coalesce(text, ''), '[0-9]+'))::BIGINT AS digit_runs FROM documents",
+    "texture": f"WITH {_BASE}, {_SENT}, l AS (SELECT doc_id, len(regexp_extract_all(s, '{_W}')) AS w FROM sents), g AS (SELECT doc_id, count(*) AS n, min(w) AS a, max(w) AS b FROM l GROUP BY 1) SELECT base.doc_id, coalesce(n, 0)::BIGINT AS sentences, coalesce(a, 0)::BIGINT AS sentence_word_min, coalesce(b, 0)::BIGINT AS sentence_word_max, len(list_filter(regexp_extract_all(text, '{_W}'), lambda x: regexp_matches(lower(x), '^(i|me|my|we|our|you|your)([’''-]|$)') OR regexp_matches(lower(x), '[’''-](i|me|my|we|our|you|your)([’''-]|$)')))::BIGINT AS direct_address, len(regexp_extract_all(text, '\\([^()\\n]{{2,160}}\\)'))::BIGINT AS parentheticals FROM base LEFT JOIN g USING (doc_id)",
+    "repeated_openings": f"WITH {_BASE}, {_SENT}, h AS (SELECT doc_id, list_slice(regexp_extract_all(lower(s), '{_W}'), 1, 2) AS h FROM sents) SELECT doc_id, array_to_string(h, ' ') AS opening, count(*) AS n FROM h WHERE len(h) = 2 GROUP BY ALL HAVING count(*) >= 3",
+    "repeated_marks": "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '!{2,}'))::BIGINT AS runs FROM documents",
+    "false_ranges": r"SELECT doc_id, len(regexp_extract_all(' ' || coalesce(text, ''), '(?i)[^\p{L}\p{M}\p{N}_]from\s+[^,.!?\n]{2,70}\s+to\s+[^,.!?\n]{2,70}'))::BIGINT AS ranges FROM documents",
+    "uncontracted_forms": r"SELECT doc_id, len(regexp_extract_all(regexp_replace(' ' || coalesce(text, '') || ' ', '([^\p{L}\p{M}\p{N}_])', '\1\1', 'g'), '(?i)[^\p{L}\p{M}\p{N}_](?:" + "|".join(x.replace(" ", "  ") for x in sorted(structure.UNCONTRACTED, key=len, reverse=True)) + r")[^\p{L}\p{M}\p{N}_]'))::BIGINT AS forms FROM documents",
+    "policy_scan": f"WITH {_matches(_POLICY)} SELECT rule_id, sum(n)::BIGINT AS n, count(*) AS docs FROM hits GROUP BY 1",
+    "style_scan": f"WITH {_matches(_STYLE)} SELECT rule_id, sum(n)::BIGINT AS n, count(*) AS docs FROM hits GROUP BY 1",
+    "policy_gate": f"WITH {_matches(_POLICY)}, g AS (SELECT doc_id, sum(n) AS n FROM hits GROUP BY 1) SELECT d.doc_id, coalesce(n, 0)::BIGINT AS finding_count, coalesce(n, 0)::BIGINT AS failure_count, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM documents d LEFT JOIN g USING (doc_id)",
+    "category_counts": f"WITH {_matches(_STYLE)} SELECT category AS value, sum(n)::BIGINT AS n, count(DISTINCT doc_id) AS docs FROM hits GROUP BY 1",
+    "dimension_scores": f"WITH {_matches(_STYLE)}, b(dimension, category) AS (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in R.DIMENSIONS.items() for c in cs) + f"), w AS (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) AS words FROM p), s AS (SELECT doc_id, dimension, sum(weight * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 1.75 ELSE 2.25 + 0.25 * (n - 3) END) AS raw, sum(n)::BIGINT AS finding_count FROM hits JOIN b USING (category) GROUP BY ALL), t AS (SELECT doc_id, dimension, raw * 1000 / greatest(250, words) AS score, finding_count FROM s JOIN w USING (doc_id)) SELECT doc_id, dimension, round(score, 6) AS score, finding_count, CASE WHEN score < 5 THEN 'low' WHEN score < 12 THEN 'moderate' WHEN score < 25 THEN 'high' ELSE 'very_high' END AS band FROM t",
+    "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{layer}', '{c}', {sum(r.layer == layer and r.category == c for r in R.rules())}::BIGINT, {sum(r.layer == layer and r.category == c and r.pattern is None for r in R.rules())}::BIGINT)" for layer, c in dict.fromkeys((r.layer, r.category) for r in R.rules())) + ") t(layer, category, rules, procedural)",
+    "exact_span_dedup": f"WITH {_matches(_STYLE)} SELECT rule_id, sum(n)::BIGINT AS n FROM hits GROUP BY 1",
+    "dash_classes": "SELECT 'EMDASH_NUMERIC_RANGE' AS rule_id, count(*) AS n FROM documents UNION ALL SELECT 'EMDASH_PAIRED_PARENTHETICAL', count(*) FROM documents",
+    "safe_edits": r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z .\n]', '', 'g') AS c FROM documents) SELECT doc_id, (70 - 16 + length(c))::BIGINT AS chars, md5('We stop! To test it, they may go.' || chr(10) || chr(10) || c) AS refined_md5 FROM t",
+    "formats": r"SELECT CASE WHEN regexp_matches(h, '(?m)^\s{0,3}(?:#{1,6}\s|[-*+]\s|```|~~~)') OR regexp_matches(h, '`[^`\r\n]+`|\[[^\]\r\n]+\]\([^\r\n)]+\)') THEN 'markdown' WHEN regexp_matches(h, '(?is)<(?:html|body|article|section|p|pre|code)\b') THEN 'html' WHEN regexp_matches(h, '\\(?:begin|section|chapter|documentclass)\b') THEN 'latex' ELSE 'plain' END AS format, count(*) AS n FROM (SELECT coalesce(html, '') AS h FROM pages) GROUP BY 1",
+}
+SQL["safe_edits"] = SQL["safe_edits"].replace("(70 - 16 + length(c))", "(35 + length(c))")
