@@ -5,12 +5,15 @@ shingles of five words; a shorter text has one shingle, a text without words (or
 
 1. One pass over the texts makes set sizes, a 128-bit digest of the whole set, and the band keys. Texts with equal sets
    become one node, so a group of exact copies, however large, takes part once.
-2. In each bucket (texts that share a band key), every member meets the bucket's smallest node only: a star, so the
-   number of candidates is at most the number of bucket rows. Candidates are confirmed on the full shingle sets.
-3. Links between members that a star's centre doesn't reach are looked for where a bucket still spans several
-   components: those outside the bucket's largest component meet the members of other components. Stars with further
-   centres come first while that would be more than a few pairs per bucket row. So no pair that shares a bucket and
-   could still join two components stays unconfirmed.
+2. In each bucket (texts that share a band key), every member meets one centre only: a star, so the number of candidates
+   is at most the number of bucket rows. The centre is the member whose buckets are fullest: in a group of edited copies
+   that is the text closest to the others. Candidates are weighed by their signatures (one byte a bin; a pair goes if it
+   is ``SIGMAS`` standard errors below the threshold), then confirmed on the full shingle sets, for which only the texts
+   of the remaining candidates move.
+3. Where a bucket still spans several components, further stars follow around members outside its largest component.
+   As soon as the pairs across components are no more than the rows of those buckets, all of them are confirmed, and no
+   pair that shares a bucket is left; after ``STARS`` rounds of stars it ends in any case. What could then be missed is
+   a link between two members of a crowd of texts that are all close to, but under, the threshold.
 
 A pair at the threshold shares no bucket with a probability of at most ``MISS``.
 
@@ -30,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import blocks, cut, text_buffers, tune
+from textloom.llm.common import blocks, cut, row_count_up_to, text_buffers, tune
 from textloom.llm.components import components
 
 SHINGLE = 5
 #: Greatest probability that a pair at the threshold shares no bucket.
 MISS = 1e-7
-#: Cross-component pairs per bucket row up to which they are all confirmed at once, and stars tried before that.
-PAIRS_PER_ROW, STARS = 4, 4
+#: Rounds of further stars; standard errors that a signature may be below the threshold.
+STARS, SIGMAS = 3, 6.0
+#: Ids of texts to confirm up to which they are broadcast, so that other texts aren't shuffled.
+BROADCAST_IDS = 500_000
 
 
 def shape(share: float) -> tuple[int, int]:
@@ -93,23 +98,25 @@ def signature(sets: np.ndarray, bins: int) -> np.ndarray:
 
 
 def _signatures(rows: int, bands: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
     salt = H.mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sketches = [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 sizes.append(len(s))
                 if not len(s):
                     digests.append((None, None))
                     keys.append(None)
+                    sketches.append(None)
                     continue
                 with np.errstate(over="ignore"):
                     digests.append((int(np.add.reduce(H.mix(s)).view(np.int64)), int(np.add.reduce(H.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64))))
                     grouped = H.mix(signature(s, rows * bands)).reshape(bands, rows)
+                    sketches.append((grouped >> np.uint64(56)).astype(np.uint8).tobytes())
                     keys.append(H.mix((grouped * (2 * np.arange(rows, dtype=np.uint64) + np.uint64(3))).sum(1, dtype=np.uint64) + salt).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), pa.array(keys, schema.field("bands").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64()), pa.array(keys, schema.field("bands").type), pa.array(sketches, pa.binary())], schema=schema)
 
     return run
 
@@ -133,10 +140,30 @@ def _confirmer(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _likely(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            error = np.sqrt(share * (1 - share) / np.minimum(one.shape[1], np.minimum(na, nb)))
+            keep = pa.array(((one == two).mean(1) >= share - SIGMAS * error) & (np.minimum(na, nb) >= share * np.maximum(na, nb) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    one = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+    both = one.join(nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
+    likely = cut(both.mapInArrow(_likely(percent / 100), "a long, b long"))
+    ids = cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = F.broadcast(ids) if row_count_up_to(ids, BROADCAST_IDS) <= BROADCAST_IDS else ids
+    needed = texts.join(ids, "doc_id", "left_semi")
+    one = likely.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(percent), "a long, b long"))
 
 
@@ -149,39 +176,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, bands = shape(percent / 100)
-    signed = cut(docs.mapInArrow(_signatures(rows, bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
-    nodes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    signed = cut(docs.mapInArrow(_signatures(rows, bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"))
+    nodes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     members = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = cut(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"))
-    shared = members.join(hubs, "key").where("size > 1")
-    stars = cut(shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    tested, links = stars, _confirm(stars, docs, percent)
+    full = cut(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    buckets = cut(members.join(full, "key").select("key", "node", "size"))
+    fullness = buckets.groupBy("node").agg(F.sum("size").alias("fullness"))
+    ranked = buckets.join(fullness, "node").select("key", "node", "fullness")
+    centres = cut(ranked.groupBy("key").agg(F.max_by("node", F.struct("fullness", -F.col("node"))).alias("centre")))
+    stars = buckets.join(centres, "key").where("node != centre")
+    tested = cut(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    links = _confirm(tested, nodes, docs, percent)
     named = cut(components(links, "a", "b"))
 
-    buckets = cut(shared.select("key", "node"))
-    for turn in range(1, STARS + 2):
+    for turn in range(STARS):
         owned = buckets.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        counts = owned.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.xxhash64("node", F.lit(turn))).alias("draw"))
-        spread = cut(counts.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum(F.col("n") * F.col("n")).cast("double").alias("inner")).where("main is not null and size * size > inner"))
+        counts = owned.groupBy("key", "component").agg(F.count("*").alias("n"))
+        spread = counts.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum(F.col("n") * F.col("n")).cast("double").alias("inner"))
+        spread = cut(spread.where("size * size > inner"))
         total = spread.agg(F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size") - F.col("inner")).alias("pairs")).first()
         if not total.rows:
             break
         owned = cut(owned.join(spread.select("key", "main"), "key"))
-        if total.pairs / 2 > PAIRS_PER_ROW * total.rows and turn <= STARS:
-            # one more star a bucket: the centre is drawn among those outside the largest component
-            centres = cut(owned.where("component != main").groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("c")))
-            met = owned.join(centres, "key").select(F.col("c.node").alias("x"), F.col("c.component").alias("cx"), F.col("node").alias("y"), F.col("component").alias("cy"))
+        every = total.pairs / 2 <= total.rows
+        minor = owned.where("component != main")
+        if every:
+            met = cut(minor.select("key", F.col("node").alias("x"), F.col("component").alias("cx")))
         else:
-            minor = cut(owned.where("component != main").select("key", F.col("node").alias("x"), F.col("component").alias("cx")))
-            met = minor.join(owned.select("key", F.col("node").alias("y"), F.col("component").alias("cy")), "key")
-        met = met.where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        met = cut(met.join(tested, ["a", "b"], "left_anti"))
-        more = _confirm(met, docs, percent)
-        tested, links = tested.union(met), links.union(more)
+            met = minor.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("c"))
+            met = cut(met.select("key", F.col("c.node").alias("x"), F.col("c.component").alias("cx")))
+        met = met.join(owned.select("key", F.col("node").alias("y"), F.col("component").alias("cy")), "key").where("cx != cy")
+        met = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        more = _confirm(met, nodes, docs, percent)
         if not more.isEmpty():
+            links = links.union(more)
             named = cut(components(links, "a", "b"))
-        if turn > STARS or total.pairs / 2 <= PAIRS_PER_ROW * total.rows:
+        if every:
             break
+        tested = tested.union(met)
 
     classes = cut(nodes.join(named, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
