@@ -102,10 +102,14 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, key % ALPHABET**3, value / norm[row]
 
 
-def weigh(words: list[str], weights: np.ndarray) -> np.ndarray:
+def weigh(words: list[str], weights: np.ndarray, block: int = 20_000) -> np.ndarray:
     """The machine's sum over landmarks for each word: the inner product with its folded weights."""
-    row, code, value = subsequences(words)
-    return np.bincount(row, value * weights[code], len(words))
+    out = np.zeros(len(words))
+    for k in range(0, len(words), block):
+        part = words[k : k + block]
+        row, code, value = subsequences(part)
+        out[k : k + block] = np.bincount(row, value * weights[code], len(part))
+    return out
 
 
 class Landmarks:
@@ -119,7 +123,7 @@ class Landmarks:
         self.matrix = np.zeros((len(words), len(self.codes)), np.float32)
         self.matrix[row, at] = value
 
-    def kernel(self, words: list[str], block: int = 1000) -> np.ndarray:
+    def kernel(self, words: list[str], block: int = 500) -> np.ndarray:
         out = np.zeros((len(words), len(self.matrix)), np.float32)
         for k in range(0, len(words), block):
             part = words[k : k + block]
@@ -248,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     small = spark.createDataFrame([(r.doc_id, r.toxic) for r in rows], "doc_id long, toxic boolean")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(small), "doc_id")
     each = texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("token")).where("token != ''")
-    found = each.groupBy("token").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).collect()
-    return learn({r.token: (r.a, r.b) for r in found}, n_toxic, n_clean)
+    found = each.groupBy("token").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    return learn({r.token: (r.a, r.b) for r in found.toLocalIterator()}, n_toxic, n_clean)  # bounded by the sample
 
 
 class Scorer:
