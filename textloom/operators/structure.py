@@ -124,7 +124,7 @@ def intro_conclusion(prepared: DataFrame) -> DataFrame:
     p = F.filter(T.paragraphs(F.col("masked")), lambda x: T.word_count(x) >= 20)
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     tokens = lambda x: F.array_distinct(F.filter(F.array_except(F.regexp_extract_all(F.lower(x), F.lit(T.WORD), F.lit(0)), stop), lambda t: F.length(t) > 2))
-    d = prepared.select("doc_id", p.alias("p")).where(F.size("p") >= 4).select("doc_id", F.get("p", F.lit(0)).alias("a"), F.element_at("p", -1).alias("b"))
+    d = prepared.select("doc_id", p.alias("p")).where(F.size("p") >= 4).select("doc_id", F.get("p", F.lit(0)).alias("a"), F.try_element_at("p", F.lit(-1)).alias("b"))
     d = d.withColumn("jaccard", F.size(F.array_intersect(tokens(F.col("a")), tokens(F.col("b")))) / F.size(F.array_union(tokens(F.col("a")), tokens(F.col("b")))))
     return d.where("jaccard >= 0.42").withColumn("ratio", ratio("a", "b")).where("ratio >= 0.55").select("doc_id", "jaccard", "ratio")
 
@@ -167,13 +167,12 @@ def title_case(heading: Column) -> Column:
     return (F.size(words) >= 3) & (F.size(major) > 0) & (capital >= 0.8 * F.size(major))
 
 
-# Word lists of the dash classes.
+# Word lists of the dash classes. Only BREAKING is a fixed value; the others are this library's own approximations.
 BREAKING = r"(?:actually|well|wait|sorry|rather|no|i mean|more precisely|at least)\b"
 LISTING = r"\b(?:items|things|factors|elements|options|steps|reasons|parts|points|components|features|examples|tools|categories|questions|goals|priorities)\s*\z"
 EXPLAINING = r"\b(?:explanation|reason|answer|problem|result|point|goal|cause|truth|question|issue|is|was|are)\s*\z"
 SUBJECT = r"^\s*(?:i|you|he|she|it|we|they|this|that|these|those|there|the\s+\w+|an?\s+\w+|[A-Z]\w+)\b"
 VERB = r"\b(?:is|are|was|were|am|be|has|have|had|do|does|did|can|could|will|would|should|may|might|must|\w+(?:ed|es|s))\b"
-# End of fixed values.
 
 
 def clause(part: Column) -> Column:
