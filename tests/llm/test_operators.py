@@ -6,6 +6,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert none.component_id is None and none.kept
 
 
+def test_near_duplicates_in_a_crowd_under_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    texts, base = [], [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    for k in range(120):  # the base itself isn't there; most members are just too far from each other
+        words = list(base)
+        for j in rng.choice(300, rng.integers(3, 9), False):
+            words[j] = f"e{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(120), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = list(range(120))
+    for _ in range(120):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 5 < len(set(root)) < 115
+    assert [r.component_id for r in near_dup.near_duplicates(docs(spark, texts), 85).orderBy("doc_id").collect()] == root
+    hashed = list(near_dup.shingle_sets(pa.array(texts)))
+    counts = np.zeros(near_dup.SLOTS, np.int64)
+    for s in hashed:
+        np.add.at(counts, near_dup._slots(s), 1)
+    prefixes = [set(near_dup.prefix(s, counts, 85)[0].tolist()) for s in hashed]
+    assert all(prefixes[a] & prefixes[b] for a, b in pairs)  # the filter loses no link
+
+
+
 def test_winnowing_against_brute_force(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"v{x}" for x in rng.integers(0, 4, 80)) for _ in range(25)] + ODD

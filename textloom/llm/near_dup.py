@@ -10,10 +10,11 @@ shingles of five words; a shorter text has one shingle, a text without words (or
    that is the text closest to the others. Candidates are weighed by their signatures (one byte a bin; a pair goes if it
    is ``SIGMAS`` standard errors below the threshold), then confirmed on the full shingle sets, for which only the texts
    of the remaining candidates move.
-3. Where a bucket still spans several components, further stars follow around members outside its largest component.
-   As soon as the pairs across components are no more than the rows of those buckets, all of them are confirmed, and no
-   pair that shares a bucket is left; after ``STARS`` rounds of stars it ends in any case. What could then be missed is
-   a link between two members of a crowd of texts that are all close to, but under, the threshold.
+3. Members of buckets that still span several components go through an exact prefix filter: shingles are put in order,
+   rare ones first, and texts meet only over a shingle that stands early enough in both for the rest to reach the
+   threshold. All that meet across components are confirmed, without a cap, so no pair that shares a bucket is left.
+   The order comes from a table of ``SLOTS`` counters; any order is right, a truer one makes fewer candidates. In a
+   crowd that is close to a text but under the threshold, what tells its members apart is rare, so few of them meet.
 
 A pair at the threshold shares no bucket with a probability of at most ``MISS``.
 
@@ -39,8 +40,10 @@ from textloom.llm.components import components
 SHINGLE = 5
 #: Greatest probability that a pair at the threshold shares no bucket.
 MISS = 1e-7
-#: Rounds of further stars; standard errors that a signature may be below the threshold.
-STARS, SIGMAS = 3, 6.0
+#: Standard errors that a signature may be below the threshold.
+SIGMAS = 6.0
+#: Counters of the shingle order in crowds: a table of fixed size, 8 bytes each.
+SLOTS = 1 << 20
 #: Ids of texts to confirm up to which they are broadcast, so that other texts aren't shuffled.
 BROADCAST_IDS = 500_000
 
@@ -167,6 +170,63 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(percent), "a long, b long"))
 
 
+def _slots(sets: np.ndarray) -> np.ndarray:
+    return (sets % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for s in shingle_sets(batch.column(1)):
+            np.add.at(counts, _slots(s), 1)
+    full = np.flatnonzero(counts)
+    for k in range(0, len(full), 1 << 16):
+        part = full[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["slot", "n"])
+
+
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles over which a set can first meet one that is similar enough, and their places in the rare-first order.
+
+    A shingle whose counter is 1 stands in no other set, so it takes a place but isn't returned.
+    """
+    n = counts[_slots(s)]
+    order = np.lexsort((s, n))[: len(s) - -(-percent * len(s) // 100) + 1]
+    place = np.flatnonzero(n[order] > 1)
+    return s[order[place]], place
+
+
+def _postings(counts, percent: int):
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("place", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                tokens, place = prefix(s, table, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.full(len(tokens), node)), pa.array(np.full(len(tokens), len(s))), pa.array(place)], schema=schema)
+
+    return run
+
+
+def _crowd_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``crowd`` (node, component) across components that can be similar enough."""
+    spark = crowd.sparkSession
+    ids = F.broadcast(crowd) if row_count_up_to(crowd, BROADCAST_IDS) <= BROADCAST_IDS else crowd
+    needed = cut(texts.join(ids, texts.doc_id == ids.node, "left_semi").select("doc_id", "text"))
+    counted = needed.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    postings = needed.mapInArrow(_postings(spark.sparkContext.broadcast(table), percent), "token long, node long, size long, place long")
+    postings = cut(postings.join(ids, "node"))
+    shared = postings.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
+    postings = cut(postings.join(shared, "token"))
+    x, y = (postings.select("token", *(F.col(c).alias(c + side) for c in ("node", "size", "place", "component"))) for side in "xy")
+    reach = (100 + percent) * F.least(F.col("sizex") - F.col("placex"), F.col("sizey") - F.col("placey")) >= percent * (F.col("sizex") + F.col("sizey"))
+    met = x.join(y, "token").where((F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & reach)
+    return met.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -189,31 +249,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = _confirm(tested, nodes, docs, percent)
     named = cut(components(links, "a", "b"))
 
-    for turn in range(STARS):
-        owned = buckets.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        counts = owned.groupBy("key", "component").agg(F.count("*").alias("n"))
-        spread = counts.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum(F.col("n") * F.col("n")).cast("double").alias("inner"))
-        spread = cut(spread.where("size * size > inner"))
-        total = spread.agg(F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size") - F.col("inner")).alias("pairs")).first()
-        if not total.rows:
-            break
-        owned = cut(owned.join(spread.select("key", "main"), "key"))
-        every = total.pairs / 2 <= total.rows
-        minor = owned.where("component != main")
-        if every:
-            met = cut(minor.select("key", F.col("node").alias("x"), F.col("component").alias("cx")))
-        else:
-            met = minor.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("c"))
-            met = cut(met.select("key", F.col("c.node").alias("x"), F.col("c.component").alias("cx")))
-        met = met.join(owned.select("key", F.col("node").alias("y"), F.col("component").alias("cy")), "key").where("cx != cy")
-        met = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    owned = buckets.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    spread = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+    crowd = cut(owned.join(spread, "key", "left_semi").select("node", "component").distinct())
+    if not crowd.isEmpty():
+        met = cut(_crowd_pairs(crowd, docs, percent).join(tested, ["a", "b"], "left_anti"))
         more = _confirm(met, nodes, docs, percent)
         if not more.isEmpty():
             links = links.union(more)
             named = cut(components(links, "a", "b"))
-        if every:
-            break
-        tested = tested.union(met)
 
     classes = cut(nodes.join(named, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component")))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
