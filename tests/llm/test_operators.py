@@ -259,3 +259,21 @@ def test_media_copies(spark):
         else:
             assert got[i].class_id == i and got[i].n_links == 0
     assert got[50].class_id == got[51].class_id == 50 and all(got[k].class_id == k for k in (900, 901, 902, 903))
+
+
+def test_media_copies_among_unrelated_images_of_their_buckets(spark):
+    """Few shared keys, in buckets whose other members have smaller ids: no centre is drawn for most of these pairs."""
+    rng = np.random.default_rng(17)
+    images, pairs = {i: media.render(rng.normal(size=8)) for i in range(500)}, []
+    keys = lambda x: set(next(media._described([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([media.pack(x)])], names=["i", "x"])])).column("keys")[0].as_py())
+    for i in range(1000, 1080):
+        one = media.render(rng.normal(size=8))
+        part = one[4:90, 3:90].astype(float)
+        two = np.clip(0.5 * part + 40 + rng.normal(0, 24, part.shape), 0, 255).astype(np.uint8)
+        if 2 <= len(keys(one) & keys(two)) <= 3 and media.consensus(media.describe(one), media.describe(two)) >= media.AGREE:
+            images |= {i: one, 1000 + i: two}
+            pairs.append(i)
+    assert len(pairs) >= 5
+    table = spark.createDataFrame([(i, media.pack(x)) for i, x in images.items()], "media_id long, image binary")
+    got = {r.media_id: r.class_id for r in media.copies(table).collect()}
+    assert [i for i in pairs if got[i] != got[1000 + i]] == []
