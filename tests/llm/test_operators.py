@@ -277,3 +277,33 @@ def test_media_copies_among_unrelated_images_of_their_buckets(spark):
     table = spark.createDataFrame([(i, media.pack(x)) for i, x in images.items()], "media_id long, image binary")
     got = {r.media_id: r.class_id for r in media.copies(table).collect()}
     assert [i for i in pairs if got[i] != got[1000 + i]] == []
+
+
+def _brute_media(images):
+    """Classes of all pairs that reach a consensus, by id."""
+    made = {i: media.describe(x) for i, x in images.items()}
+    links = [(a, b) for a in images for b in images if a < b and max(media.consensus(made[a], made[b]), media.consensus(made[b], made[a])) >= media.AGREE]
+    owner = {i: i for i in images}
+    for _ in images:
+        for a, b in links:
+            owner[a] = owner[b] = min(owner[a], owner[b])
+    return owner
+
+
+def test_media_copies_equal_brute_force_on_hard_edits(spark):
+    rng = np.random.default_rng(17)
+    images = {}
+    for i in range(40):
+        images[i] = media.render(rng.normal(size=8))
+        for k, noise in enumerate((12, 18, 24), 1):
+            part = images[i][3 + k : 92 - k, 2 + k : 90].astype(float)
+            images[1000 * k + i] = np.clip(0.5 * part + 40 + rng.normal(0, noise, part.shape), 0, 255).astype(np.uint8)
+    images[9000] = images[0][:30, :30]  # fewer corners than the others
+    want = _brute_media(images)
+    assert sum(want[1000 * k + i] == i for k in (1, 2, 3) for i in range(40)) > 60
+    table = spark.createDataFrame([(i, media.pack(x)) for i, x in images.items()], "media_id long, image binary")
+    before, media.BLOCK = media.BLOCK, 64
+    try:
+        assert {r.media_id: r.class_id for r in media.copies(table).collect()} == want
+    finally:
+        media.BLOCK = before
