@@ -1,11 +1,14 @@
 """Text functions, registry and audit on small fixtures."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import registry as R
 from textloom.functions import text as T
 from textloom.operators import audit, structure
+from textloom.plans import queries
 
 
 def docs(spark, *texts):
@@ -86,3 +89,20 @@ def test_structure_and_dashes(spark):
     rows = {r.doc_id: r for r in structure.dashes(audit.prepare(dashed, fmt="plain")).collect()}
     assert rows[0].rule_id == "EMDASH_PAIRED_PARENTHETICAL" and rows[0].suggestion == "The trial, which lasted six weeks, produced no measurable effect."
     assert rows[1].rule_id == "EMDASH_INTERRUPTION" and rows[2].rule_id == "EMDASH_NUMERIC_RANGE"
+
+
+def test_safe_edits_whole_runs_over_the_documents_own_texts(spark, tmp_path):
+    wanted = {
+        "It is important to note that the Sample of 2,000 was small.": "The Sample of 2,000 was small.",
+        "Alpha\ufeffBeta; NASA may potentially go??": "AlphaBeta; NASA may go?",
+        "The Study ran from 2019—2024 (In order to test).": "The Study ran from 2019–2024 (To test).",
+        "See `in order to!!` at https://x.example/a!!b\n\n# Title\n\nStop!! In order to go.": "See `in order to!!` at https://x.example/a!!b\n\n# Title\n\nStop! To go.",
+        "<html><p>Stop!!</p><code>in order to!!</code></html>": "<html><p>Stop!</p><code>in order to!!</code></html>",
+        "They said “We stop!! In order to.”": "They said “We stop!! In order to.”",
+    }
+    docs(spark, *wanted, None).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.QUERIES["safe_edits_whole"](spark, str(tmp_path)).collect()}
+    md5 = [hashlib.md5(x.encode()).hexdigest() for x in [*wanted.values(), ""]]
+    assert [k for k in range(len(md5)) if rows[k].refined_md5 != md5[k]] == []
+    assert [rows[k].format for k in (0, 3, 4)] == ["plain", "markdown", "html"]
+    assert rows[3].edit_count == 2 and rows[5].edit_count == 0

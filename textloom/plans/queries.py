@@ -163,6 +163,12 @@ def safe_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("refined").cast("long").alias("chars"), F.md5("refined").alias("refined_md5"))
 
 
+def safe_edits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' own texts, nothing taken out, each in its detected format."""
+    out = audit.safe_edits(audit.prepare(_docs(spark, sf_dir)))
+    return out.select("doc_id", "format", F.length("refined").cast("long").alias("chars"), F.md5("refined").alias("refined_md5"), F.col("edit_count").cast("long").alias("edit_count"))
+
+
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
     return d.groupBy(T.detect_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
@@ -179,7 +185,7 @@ def protected_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "long_paragraphs_by_language": flagship, "word_counts": word_counts, "sentence_counts": sentence_counts, "address_counts": address_counts, "texture": texture, "repeated_openings": repeated_openings, "repeated_marks": repeated_marks,
     "false_ranges": false_ranges, "uncontracted_forms": uncontracted, "policy_scan": policy_scan, "style_scan": style_scan, "policy_gate": policy_gate, "category_counts": category_counts, "dimension_scores": dimension_scores, "rule_catalogue": catalogue,
-    "exact_span_dedup": exact_span_dedup, "cross_layer_dedup": cross_layer, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "intro_conclusion": intro_conclusion, "dash_classes": dash_classes, "safe_edits": safe_edits, "formats": formats, "protected_spans": protected_share,
+    "exact_span_dedup": exact_span_dedup, "cross_layer_dedup": cross_layer, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "intro_conclusion": intro_conclusion, "dash_classes": dash_classes, "safe_edits": safe_edits, "safe_edits_whole": safe_edits_whole, "formats": formats, "protected_spans": protected_share,
 }
 
 _B = "(^|[^\\p{L}\\p{M}\\p{N}_])"
