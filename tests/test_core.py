@@ -1,6 +1,8 @@
 """Text functions, registry and audit on small fixtures."""
 
 import hashlib
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,21 @@ def test_safe_edits_whole_runs_over_the_documents_own_texts(spark, tmp_path):
     assert [k for k in range(len(md5)) if rows[k].refined_md5 != md5[k]] == []
     assert [rows[k].format for k in (0, 3, 4)] == ["plain", "markdown", "html"]
     assert rows[3].edit_count == 2 and rows[5].edit_count == 0
+
+
+def test_whole_scans_equal_brute_force_with_every_pattern_rule(spark, tmp_path):
+    phrases = [*R.VD_WORD, *(r + "s" for r in R.VD_ROOTS), *R.VD_COPULA, *R.VD_PHRASE, *(x for spec in R.FAMILIES for x in spec[2]), *R.RESEARCH_LEX]
+    phrases = [p[0] if isinstance(p, tuple) else p for p in phrases]
+    said = [f"Here {p} ends. Then {p} ends. And {p} ends.".replace("'", "’") if k % 2 else f"Here {p} ends." for k, p in enumerate(phrases)]
+    said += ["It is not just speed, but also care. It marks a change.", "The issue is not cost. The issue is time.", "from speed to care to art, highlighting its importance"]
+    docs(spark, *said, "# Title\n\nSee `delves, leverages` there.").write.parquet(f"{tmp_path}/documents.parquet")
+    brute = lambda rules: {r.rule_id: [len(re.findall(r.pattern.replace(r"\z", r"\Z"), t, re.I | re.S)) for t in said] for r in rules if r.pattern}
+    want = {k: (sum(v), sum(n > 0 for n in v)) for k, v in brute(R.policy_rules()).items() if sum(v)}
+    got = {r.rule_id: (r.n, r.docs) for r in queries.QUERIES["policy_scan_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 150
+    suppressible = {"research_lexicon", "unsupported_sourcing", "participial_framing", "discourse_signposting", "generic_example", "generic_audience", "assistant_residue"}
+    rules = {r.rule_id: r for r in R.style_rules() if r.category not in suppressible}
+    want = Counter({k: n for k, v in brute(rules.values()).items() if (n := sum(x for x in v if x >= rules[k].min_occurrences))})
+    got = {r.rule_id: r.n for r in queries.QUERIES["style_scan_whole"](spark, str(tmp_path)).collect()}
+    assert {k: n for k, n in got.items() if k in rules} == dict(want) and len(want) > 94
+    assert any(rules[k].min_occurrences > 1 for k in want) and any(k.startswith("RESEARCH") for k in got)

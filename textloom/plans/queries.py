@@ -139,6 +139,47 @@ def cross_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+def _policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pattern rule of the graded layer over the documents' own texts, in their detected formats."""
+    return audit.policy_findings(audit.prepare(_docs(spark, sf_dir).select("doc_id", "text")))
+
+
+def _style_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.style_findings(audit.prepare(_docs(spark, sf_dir).select("doc_id", "text")))
+
+
+def policy_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_whole(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def style_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _style_whole(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def policy_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.gate(_docs(spark, sf_dir), _policy_whole(spark, sf_dir))
+
+
+def category_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.counters(_style_whole(spark, sf_dir)).where("key = 'category'")
+    return found.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+def dimension_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).alias("words"))
+    out = audit.dimension_scores(docs, audit.deduplicate(_style_whole(spark, sf_dir)))
+    return out.select("doc_id", "dimension", F.round("score", 6).alias("score"), "finding_count", "band")
+
+
+def exact_span_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.deduplicate(_style_whole(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def cross_layer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = audit.across_layers(_policy_whole(spark, sf_dir), _style_whole(spark, sf_dir))
+    return left.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
 def procedural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per procedural policy rule."""
     return structure.procedural(audit.prepare(_docs(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("docs"))
@@ -185,7 +226,9 @@ def protected_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "long_paragraphs_by_language": flagship, "word_counts": word_counts, "sentence_counts": sentence_counts, "address_counts": address_counts, "texture": texture, "repeated_openings": repeated_openings, "repeated_marks": repeated_marks,
     "false_ranges": false_ranges, "uncontracted_forms": uncontracted, "policy_scan": policy_scan, "style_scan": style_scan, "policy_gate": policy_gate, "category_counts": category_counts, "dimension_scores": dimension_scores, "rule_catalogue": catalogue,
-    "exact_span_dedup": exact_span_dedup, "cross_layer_dedup": cross_layer, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "intro_conclusion": intro_conclusion, "dash_classes": dash_classes, "safe_edits": safe_edits, "safe_edits_whole": safe_edits_whole, "formats": formats, "protected_spans": protected_share,
+    "exact_span_dedup": exact_span_dedup, "cross_layer_dedup": cross_layer, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "intro_conclusion": intro_conclusion, "dash_classes": dash_classes, "safe_edits": safe_edits, "safe_edits_whole": safe_edits_whole,
+    "policy_scan_whole": policy_scan_whole, "style_scan_whole": style_scan_whole, "policy_gate_whole": policy_gate_whole, "category_counts_whole": category_counts_whole, "dimension_scores_whole": dimension_scores_whole, "exact_span_dedup_whole": exact_span_dedup_whole, "cross_layer_dedup_whole": cross_layer_whole,
+    "formats": formats, "protected_spans": protected_share,
 }
 
 _B = "(^|[^\\p{L}\\p{M}\\p{N}_])"
