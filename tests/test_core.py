@@ -126,3 +126,22 @@ def test_whole_scans_equal_brute_force_with_every_pattern_rule(spark, tmp_path):
     got = {r.rule_id: r.n for r in queries.QUERIES["style_scan_whole"](spark, str(tmp_path)).collect()}
     assert {k: n for k, n in got.items() if k in rules} == dict(want) and len(want) > 94
     assert any(rules[k].min_occurrences > 1 for k in want) and any(k.startswith("RESEARCH") for k in got)
+
+
+def test_gate_whole_fails_on_procedural_rules(spark, tmp_path):
+    texts = [
+        "The sample was small—but useful—so far.", "Plain text.", "## Global Context and Critical Mineral Demand\n\nText.",
+        "We bought two apples and five pears.\n\nOne. \n\nIt ran. It sat. It hid. It is here.", "**a** and **b** plus **c** or **d**", "They said “small—but useful”.", "word " * 200, "We wanted speed, clarity, and innovation.",
+    ]
+    docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.QUERIES["policy_gate_whole"](spark, str(tmp_path)).collect()}
+    assert (rows[0].failure_count, rows[0].status) == (2, "fail") and all(rows[k].status == "pass" for k in range(1, 8))
+    found = structure.procedural_findings(audit.prepare(docs(spark, *texts))).collect()
+    at = {(r.doc_id, r.rule_id, texts[r.doc_id][r.start : r.end]) for r in found}
+    assert at == {
+        (0, "VD_EM_DASH", "—"), (2, "VD_TITLE_CASE_HEADING", "Global Context and Critical Mineral Demand"), (3, "VD_NUMBER_WORD", "two"), (3, "VD_NUMBER_WORD", "five"),
+        (3, "VD_LONG_PARAGRAPH", "It ran. It sat. It hid. It is here."), (3, "VD_UNCONTRACTED_FORM", "It is"), (4, "VD_BOLD_DENSITY", "**c** or **d**"),
+        (6, "VD_LOW_SPECIFICITY", "w"), (6, "VD_NO_DIRECT_ADDRESS", "w"), (7, "VD_RULE_OF_THREE", texts[7][:-1]),
+    }
+    assert {(r.rule_id, r.severity) for r in found} >= {("VD_EM_DASH", "hard"), ("VD_NUMBER_WORD", "strong")}
+    assert [rows[k].finding_count for k in range(8)] == [2 if k == 0 else sum(r.doc_id == k for r in found) for k in range(8)]

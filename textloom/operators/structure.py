@@ -159,6 +159,42 @@ def procedural(prepared: DataFrame) -> DataFrame:
     )
 
 
+def procedural_findings(prepared: DataFrame) -> DataFrame:
+    """The procedural rules as findings, a row for each place, in the columns of ``audit.policy_findings``."""
+    text, masked, spans = F.col("text"), F.col("masked"), F.col("spans")
+    free = lambda found: F.filter(found, lambda m: ~F.exists(spans, lambda s: (m.start < s.end) & (m.end > s.start) & (s.xa | s.kind.contains("quoted_text"))))
+    place = lambda start, end, matched: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), matched.alias("text"))
+    paragraphs = T.find(masked, rf"\S.*?(?=\s*(?:{T.BREAK})|\s*\z)")
+    lines = T.find(text, r"^#{1,6}[ \t]+[^\r\n]+?[ \t]*#*$", "smU")
+    d = T.once(T.once(prepared, "lines", lines), "bold", free(T.find(text, r"\*\*[^*\n]+\*\*", "sU")))
+    d = T.once(d, "bounds", F.concat(F.array(F.lit(0)), F.transform("lines", lambda m: m.start), F.array(F.length(text))))
+    before = lambda m: F.length(F.regexp_extract(m.text, r"^#{1,6}[ \t]+", 0))
+    title = lambda m: F.regexp_extract(m.text, r"(?s)^#{1,6}[ \t]+(.+?)[ \t]*#*\z", 1)
+    titles = F.transform("lines", lambda m: place(m.start + before(m), m.start + before(m) + F.length(title(m)), title(m)))
+    sections = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda i: F.filter("bold", lambda m: (m.start >= F.element_at("bounds", i)) & (m.end <= F.element_at("bounds", i + 1))))
+    numbers = F.filter(T.find(masked, NUMBER_WORDS, "isU"), lambda m: ~T.window(masked, m.start, m.end, 20, 25).rlike("(?i)one or ") & ~T.window(masked, m.start, m.start, 20, 0).rlike(r"(?iU)\b(?:between|either|both)\s+\z"))
+    triads = F.filter(free(T.find(masked, TRIAD, "isU")), lambda m: ~F.exists(F.split(m.text, ","), lambda part: T.word_count(part) > 9))
+    words = T.word_count(masked)
+    concrete = T.count(masked, T.NUMBER, "U") + T.count(text, r"(?<![.!?]\s)\b[A-Z][a-z]{2,}\b", "U") + T.count(text, r"[“\"][^”\"\n]{3,80}[”\"]", "U") + T.count(text, r"\b(?:19|20)\d{2}\b|\b(?:" + MONTHS + r")\b", "U")
+    whole = lambda when: F.filter(F.array(place(F.lit(0), F.least(F.length(text), F.lit(1)), F.substring(text, 1, 1))), lambda m: (words >= 180) & when)
+    found = {
+        "VD_EM_DASH": free(T.find(text, "—")),
+        "VD_LONG_PARAGRAPH": F.filter(paragraphs, lambda m: F.size(T.sentences(m.text)) > 3),
+        "VD_TITLE_CASE_HEADING": F.filter(free(titles), lambda m: title_case(m.text)),
+        "VD_BOLD_DENSITY": F.transform(F.filter(sections, lambda x: F.size(x) > 2), lambda x: place(x[2].start, F.element_at(x, -1).end, F.concat(F.size(x), F.lit(" bold spans")))),
+        "VD_NUMBER_WORD": numbers,
+        "VD_UNCONTRACTED_FORM": free(T.find(masked, r"\b(?:" + "|".join(sorted(UNCONTRACTED, key=len, reverse=True)) + r")\b", "isU")),
+        "VD_RULE_OF_THREE": triads,
+        "VD_LOW_SPECIFICITY": whole(concrete <= F.greatest(F.lit(2), F.floor(words / 180))),
+        "VD_NO_DIRECT_ADDRESS": whole(T.count(masked, T.ADDRESS) == 0),
+    }
+    named = lambda rule: lambda m: F.struct(F.lit(rule).alias("rule_id"), m.start.cast("int").alias("start"), m.end.cast("int").alias("end"), m.text.alias("matched"))
+    each = F.concat(*[F.transform(places, named(rule)) for rule, places in found.items()])
+    table = R.rule_table(prepared.sparkSession, [r for r in R.policy_rules() if r.rule_id in found])
+    rows = d.select(*prepared.columns, F.explode(each).alias("x")).select(*prepared.columns, "x.*").join(F.broadcast(table), "rule_id")
+    return rows.select(*prepared.columns, *[c for c in table.columns if c != "pattern"], "start", "end", "matched")
+
+
 def title_case(heading: Column) -> Column:
     """At least three words, minor ones aside, of which 80 % start with a capital."""
     words = F.regexp_extract_all(heading, F.lit(r"(?U)[\w’'-]+"), F.lit(0))

@@ -144,6 +144,12 @@ def _policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.policy_findings(audit.prepare(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
+def _graded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graded layer with its procedural rules."""
+    prepared = audit.prepare(_docs(spark, sf_dir).select("doc_id", "text"))
+    return audit.policy_findings(prepared).unionByName(structure.procedural_findings(prepared))
+
+
 def _style_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.style_findings(audit.prepare(_docs(spark, sf_dir).select("doc_id", "text")))
 
@@ -157,7 +163,7 @@ def style_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.gate(_docs(spark, sf_dir), _policy_whole(spark, sf_dir))
+    return audit.gate(_docs(spark, sf_dir), _graded_whole(spark, sf_dir))
 
 
 def category_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +182,7 @@ def exact_span_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_layer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = audit.across_layers(_policy_whole(spark, sf_dir), _style_whole(spark, sf_dir))
+    left = audit.across_layers(_graded_whole(spark, sf_dir), _style_whole(spark, sf_dir))
     return left.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
