@@ -1,11 +1,8 @@
-"""Column functions over one text: matches with offsets, sentences, paragraphs, words, lines, spans, masks, edits.
-
-Offsets are in code points, ends exclusive. All are built-in expressions; a null text gives null.
-"""
+"""Column functions over one text, of built-in expressions; a null text gives null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Token patterns (Java regular expressions).
@@ -13,48 +10,13 @@ WORD = r"(?U)\b[\w’'-]+\b"
 NUMBER = r"(?<!\w)[+-]?(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d+)?%?(?!\w)"
 URL = r"\b(?:https?://|ftp://|www\.)[^\s<>()\[\]{}]+"
 EMAIL = r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]|\.[A-Za-z0-9])"
-DOI = r"\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
-CITATION = r"\[(?:\d+(?:\s*[-–,]\s*\d+)*)\]"
 CONTRACTION = r"\b\w+(?:n(?:'|’)t|(?:'|’)(?:m|re|ve|ll|d|s))\b"
 ADDRESS = r"\b(?:I|me|my|we|our|you|your)\b"
 PARENTHETICAL = r"\([^()\n]{2,160}\)"
-BREAK = r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+"
-ABBREVIATIONS = r"mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|fig|eq"
 # End of fixed values.
 
-SENTENCE = r"(?s)(?U)(?=\S).*?(?:(?:[!?]|(?<!(?<![A-Za-z.])\.{0,9}(?:(?i:" + ABBREVIATIONS + r")|[A-Za-z])\.{0,9})\.)" + "[\"'”’)\\]}]*" + r"(?=\s|\z)|(?=(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n))|\z)"
-
-MATCH = "array<struct<start:int,end:int,text:string>>"
-
-
-def col(text: Column | str) -> Column:
-    return F.col(text) if isinstance(text, str) else text
-
-
-def find(text: Column, pattern: Column | str, flags: str = "isU") -> Column:
-    """All matches, left to right, as array of (start, end, text). ``pattern`` has no capture groups.
-
-    Gaps and matches come from two extractions of ``(gap)(match)``; their lengths add up to the offsets. The anchor to
-    the last match keeps a search from starting anew inside a gap, which would take quadratic time.
-    """
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.concat(F.lit(f"(?{flags})\\G(.*?)("), pattern, F.lit(")"))
-    gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: F.lit(True))
-    nothing = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {MATCH})").alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state.at + F.length(x.gap)
-        end = start + F.length(x.hit)
-        return F.struct(end.alias("at"), F.concat(state.found, F.array(F.struct(start.alias("start"), end.alias("end"), x.hit.alias("text")))).alias("found"))
-
-    return F.filter(F.aggregate(pairs, nothing, step, lambda s: s.found), lambda m: m.end > m.start)
-
-
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is computed once: a generator keeps it from being copied into each of its uses."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return df.select(*rest, F.explode(F.array(value)).alias(name))
+#: A blank line. The set repeats, not a choice of line ends: a repeated choice recurses and overflows on long runs.
+BREAK = r"(?:\r\n|\r|\n)[ \t]*[\r\n]+"
 
 
 def count(text: Column, pattern: str, flags: str = "iU") -> Column:
@@ -65,137 +27,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences that hold a word; abbreviations, initials and decimals don't end one, a blank line does."""
-    return F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: s.rlike(r"(?U)\w"))
-
-
 def paragraphs(text: Column) -> Column:
     """Pieces between blank lines, trimmed, empty ones left out."""
     return F.filter(F.transform(F.split(text, BREAK), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+\z", "")), lambda p: p != "")
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of an offset; only line feeds end lines."""
-    return F.regexp_count(F.substr(text, F.lit(1), offset), F.lit("\n")) + 1
-
-
-def column_of(text: Column, offset: Column) -> Column:
-    """1-based column of an offset."""
-    return offset - F.length(F.regexp_extract(F.substr(text, F.lit(1), offset), r"(?s)\A(.*\n)?", 0)) + 1
-
-
-def window(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
-    low = F.greatest(start - before, F.lit(0))
-    return F.substr(text, low + 1, end + after - low)
-
-
-def at_sentence_start(text: Column, offset: Column) -> Column:
-    return F.substr(text, F.lit(1), offset).rlike("(?:\\A|[.!?\\r\\n])[ \\t\"'“‘(\\[{]*\\z")
-
-
-def near_source(text: Column, start: Column, end: Column) -> Column:
-    """Whether a link, DOI, citation or named source stands around a match."""
-    around = window(text, start, end, 100, 240)
-    return around.rlike("(?iU)" + URL) | around.rlike("(?iU)" + DOI) | around.rlike(CITATION) | around.rlike(r"\([A-Z][A-Za-z'’-]+(?:\s+et\s+al\.)?,?\s+\d{4}[a-z]?\)") | around.rlike(r"\baccording\s+to\s+[A-Z][A-Za-z'’-]+")
-
-
-def mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)).otherwise(F.lit(0.0))
-
-
-def variation(values: Column) -> Column:
-    """Population standard deviation over the mean; infinite for fewer than two values or a mean of 0."""
-    m = mean(values)
-    deviation = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(values))
-    return F.when((F.size(values) < 2) | (m == 0), F.lit(float("inf"))).otherwise(deviation / m)
-
-
-SPAN = "struct<start:int,end:int,kind:string,xa:boolean,xe:boolean>"
-
-
-def spans(text: Column, pattern: str, kind: str, analysis: bool = True, flags: str = "U") -> Column:
-    """Matches as protected spans; ``analysis``: left out of analysis as well as of edits."""
-    return F.transform(find(text, pattern, flags + "s"), lambda m: F.struct(m.start.alias("start"), m.end.alias("end"), F.lit(kind).alias("kind"), F.lit(analysis).alias("xa"), F.lit(True).alias("xe")))
-
-
 def detect_format(text: Column, name: Column | None = None) -> Column:
     """markdown, html, latex or plain, by the name's suffix, then by marks in the text."""
     name = F.lower(name) if name is not None else F.lit("")
     out = F.when(name.rlike(r"\.(md|markdown|mdown)\z"), "markdown").when(name.rlike(r"\.html?\z"), "html").when(name.rlike(r"\.(tex|latex)\z"), "latex")
-    marks = text.rlike(r"(?m)^\s{0,3}(?:#{1,6}\s|[-*+]\s|```|~~~)") | text.rlike(r"`[^`\r\n]+`|\[[^\]\r\n]+\]\([^\r\n)]+\)")
+    marks = text.rlike(r"(?mU)^\s{0,3}(?:#{1,6}\s|[-*+]\s|```|~~~)") | text.rlike(r"`[^`\r\n]+`|\[[^\]\r\n]+\]\([^\r\n)]+\)")
     return out.when(marks, "markdown").when(text.rlike(r"(?is)<(?:html|body|article|section|p|pre|code)\b"), "html").when(text.rlike(r"\\(?:begin|section|chapter|documentclass)\b"), "latex").otherwise("plain")
-
-
-def protected_spans(text: Column, kind: Column, extra: tuple[str, ...] = (), edit_quotes: bool = False) -> Column:
-    """Code, links, addresses, citations and quotations that analysis or edits leave alone, merged."""
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    fenced = r"(?m:^ {0,3}(?<f>`{3,}|~{3,})[^\n]*(?:\n|\z)(?s:.*?)(?:^ {0,3}\k<f>[`~]*[ \t]*\r?$|\z))"
-    fences = _named(text, fenced, "fenced_code")
-    outside = lambda found: F.filter(found, lambda s: ~F.exists(fences, lambda f: (s.start < f.end) & (s.end > f.start)))
-    markdown = F.concat(
-        fences, outside(spans(text, r"(?m:^(?: {4}|\t)[^\n]*\S[^\n]*$)", "indented_code")), spans(text, r"(?m:^ {0,3}>[^\n]*$)", "blockquote", False), outside(_named(text, r"(?<!`)(?<f>`+)(?!`)(?:(?!\n[ \t]*\n).)*?(?<!`)\k<f>(?!`)", "inline_code")),
-        spans(text, r"!?\[[^\]\r\n]*\]\((?:\\.|[^)\\\r\n])*+\)", "markdown_link"), spans(text, r"!?\[[^\]\r\n]+\]\[[^\]\r\n]*\]", "markdown_reference_link"), spans(text, r"\[\^[^\]\r\n]+\]", "markdown_footnote"),
-    )
-    html = F.concat(_named(text, r"<(?<f>pre|code)\b[^>]*>.*?</\k<f>\s*>", "html_code", "i"), spans(text, r"<!--.*?-->|<[^>]*>", "html_markup"))
-    latex = _named(text, r"\\begin\{(?<f>verbatim\*?|Verbatim\*?|lstlisting\*?|minted\*?|alltt)\}.*?\\end\{\k<f>\}", "latex_verbatim")
-    parts = [
-        F.when(kind == "markdown", markdown).otherwise(none), F.when(kind == "html", html).otherwise(none), F.when(kind == "latex", latex).otherwise(none),
-        spans(text, URL, "url", flags="iU"), spans(text, EMAIL, "email", flags="iU"), spans(text, DOI, "doi", flags="iU"), spans(text, r"<(?:(?:https?://|mailto:)[^>]+|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,})>", "autolink", flags="iU"),
-        spans(text, CITATION, "numeric_citation", False), spans(text, r"\((?:[A-Z][A-Za-z'’-]+(?:\s+et\s+al\.)?(?:\s*&\s*[A-Z][A-Za-z'’-]+)?),?\s+\d{4}[a-z]?\)", "author_date_citation", False),
-    ]
-    quotes = F.concat(*[spans(text, p, "quoted_text", False) for p in (r"“[^”\r\n]*”", r"‘[^’\r\n]*’", r'(?<!\\)"(?=[^"\r\n]{2})[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+(?<!\\)"')])
-    if edit_quotes:
-        quotes = F.transform(quotes, lambda s: s.withField("xe", F.lit(False)))
-    parts.append(quotes)
-    parts.append(spans(text, r'(?m:(?<=":|": )"(?:\\.|[^"\\\r\n])*+")', "json_string"))
-    parts += [spans(text, p, f"profile_pattern_{i}") for i, p in enumerate(extra, 1)]
-    return merge_spans(F.concat(*parts))
-
-
-def _named(text: Column, pattern: str, kind: str, flags: str = "") -> Column:
-    """Spans of a pattern with one named group ``f``, which moves the outer groups by none as gaps come first."""
-    return F.transform(find(text, pattern, flags + "Us"), lambda m: F.struct(m.start.alias("start"), m.end.alias("end"), F.lit(kind).alias("kind"), F.lit(True).alias("xa"), F.lit(True).alias("xe")))
-
-
-def merge_spans(found: Column) -> Column:
-    """Overlapping and touching spans as one: kinds joined in order, flags or-ed."""
-    ordered = F.array_sort(F.filter(found, lambda s: s.end > s.start))
-    nothing = F.expr(f"cast(array() as array<{SPAN}>)")
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        kinds = F.array_join(F.array_sort(F.array_distinct(F.concat(F.split(last.kind, r"\+"), F.split(s.kind, r"\+")))), "+")
-        joined = F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"), kinds.alias("kind"), (last.xa | s.xa).alias("xa"), (last.xe | s.xe).alias("xe"))
-        return F.when((F.size(done) > 0) & (s.start <= F.get(done, F.size(done) - 1).end), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
-
-    def safe(done: Column, s: Column) -> Column:
-        return F.when(F.size(done) == 0, F.array(s)).otherwise(step(done, s))
-
-    return F.aggregate(ordered, nothing, safe)
-
-
-def overlapping(found: Column, start: Column, end: Column, flag: str) -> Column:
-    """Whether a span with the flag (xa or xe) overlaps."""
-    return F.exists(found, lambda s: s[flag] & (start < s.end) & (end > s.start))
-
-
-def mask(text: Column, found: Column) -> Column:
-    """Analysis-excluded spans as blanks, line ends kept, so offsets stay."""
-    nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        return F.struct(s.end.alias("at"), F.concat(state.out, F.substr(text, state.at + 1, s.start - state.at), F.regexp_replace(F.substr(text, s.start + 1, s.end - s.start), r"[^\r\n]", " ")).alias("out"))
-
-    return F.aggregate(F.filter(found, lambda s: s.xa), nothing, step, lambda s: F.concat(s.out, F.substr(text, s.at + 1, F.length(text))))
-
-
-def apply_edits(text: Column, edits: Column) -> Column:
-    """``edits``: array of (start, end, replacement), sorted; one that overlaps an earlier one is passed over."""
-    nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        done = F.struct(e.end.alias("at"), F.concat(state.out, F.substr(text, state.at + 1, e.start - state.at), e.replacement).alias("out"))
-        return F.when(e.start >= state.at, done).otherwise(state)
-
-    return F.aggregate(edits, nothing, step, lambda s: F.concat(s.out, F.substr(text, s.at + 1, F.length(text))))

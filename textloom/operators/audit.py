@@ -1,106 +1,128 @@
-"""Findings over a corpus: the scored and the graded layer, their merging, scores, gates, texture and safe edits.
+"""The audit as DataFrame operators: findings, edits, gates, counters, scores and texture of every row.
 
-Documents carry (doc_id, text). A scan first asks which rules a document can match at all: a phrase by its longest word,
-other patterns by one alternation per category. Only those (document, rule) pairs run the rule's own pattern.
+The per-text work (offsets of matches, protected spans, order-dependent choices) is one Arrow pass that adds a struct
+column; rows aren't shuffled, collected or joined by an id for it, so ids may be null, repeated or missing. All that
+follows reads the struct: filters, folds and groupings of built-in functions.
+
+Defined cases: a null text counts as empty and gives no finding; rows with equal ids stay rows of their own; an empty
+table gives an empty result; all columns of the input stay as they are, whatever their names, and the added column has
+a name that none of them has (``column_of`` tells it). A text takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
 from textloom.functions import registry as R
-from textloom.functions import text as T
-
-#: Characters around a match that contextual tests look at.
-NEAR = 100
-TEXTILE = r"textile|weaving|woven|fabric|loom|thread|embroidery|carpet"
-
-
-def prepare(docs: DataFrame, text: str = "text", name: str | None = None, fmt: str = "auto", extra: tuple[str, ...] = (), edit_quotes: bool = False) -> DataFrame:
-    """``docs`` with format, protected spans and masked text. Null text counts as empty."""
-    out = docs.withColumn("text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("format", T.detect_format(F.col("text"), F.col(name) if name else None) if fmt == "auto" else F.lit(fmt))
-    out = T.once(out, "spans", T.protected_spans(F.col("text"), F.col("format"), extra, edit_quotes))
-    return T.once(out, "masked", T.mask(F.col("text"), F.col("spans")))
-
-
-def scan(docs: DataFrame, chosen: list[R.Rule], over: str) -> DataFrame:
-    """Rows (docs' columns, rule fields, start, end, matched) for each match of each rule's pattern in column ``over``."""
-    chosen = [r for r in chosen if r.pattern is not None]
-    keyed, families = [], {}
-    for r in chosen:
-        if R.key(r):
-            keyed.append(r)
-        else:
-            families.setdefault(f"{r.layer}/{r.category}", []).append(r)
-    lowered = T.once(docs, "lowered", F.lower(F.col(over)))
-    words = F.array(*[F.struct(F.lit(R.key(r)).alias("key"), F.lit(r.rule_id).alias("to")) for r in keyed])
-    ids = F.transform(F.filter(words, lambda w: F.contains(F.col("lowered"), w.key)), lambda w: w.to) if keyed else F.array().cast("array<string>")
-    hits = [F.when(F.col(over).rlike("(?isU)" + "|".join(f"(?:{r.pattern})" for r in group)), F.array(*[F.lit(r.rule_id) for r in group])).otherwise(F.array().cast("array<string>")) for group in families.values()]
-    some = lowered.withColumn("rule_id", F.explode(F.concat(ids, *hits))).drop("lowered")
-    table = R.rule_table(docs.sparkSession, chosen)
-    met = some.join(F.broadcast(table), "rule_id")  # fixed size: at most the registry
-    return met.withColumn("m", F.explode(T.find(F.col(over), F.col("pattern")))).select(*docs.columns, *[c for c in table.columns if c != "pattern"], F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("matched"))
-
-
-def suppressed() -> Column:
-    """Matches that their surroundings explain."""
-    c, text, start, end = F.col("category"), F.col("text"), F.col("start"), F.col("end")
-    woven = (c == "research_lexicon") & F.lower("matched").contains("tapestry") & T.window(text, start, end, NEAR, NEAR).rlike("(?i)" + TEXTILE)
-    sourced = (c == "unsupported_sourcing") & T.near_source(text, start, end)
-    opener = c.isin("participial_framing", "discourse_signposting", "generic_example", "generic_audience") | ((c == "assistant_residue") & F.lower(F.trim("matched")).isin("certainly", "absolutely"))
-    return woven | sourced | (opener & ~T.at_sentence_start(text, start))
-
-
-def style_findings(prepared: DataFrame, chosen: list[R.Rule] | None = None, preferred: tuple[str, ...] = ()) -> DataFrame:
-    """Scored findings by pattern: protected, explained and preferred matches go, then rules under their least count."""
-    chosen = R.enabled(R.style_rules()) if chosen is None else chosen
-    found = scan(prepared, chosen, "text")
-    found = found.where(~T.overlapping(F.col("spans"), F.col("start"), F.col("end"), "xa") & ~suppressed())
-    if preferred:
-        found = found.where(~F.lower(F.trim("matched")).isin(*[p.lower() for p in preferred]))
-    per_rule = W.partitionBy("doc_id", "rule_id")
-    return found.withColumn("occurrences", F.count("*").over(per_rule)).where("occurrences >= min_occurrences").drop("occurrences")
-
-
-def policy_findings(prepared: DataFrame, chosen: list[R.Rule] | None = None, allowed_terms: tuple[str, ...] = (), allowed_patterns: tuple[str, ...] = (), check_quotes: bool = False, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Graded findings by pattern over the masked text, but for quoted, protected and allowed matches."""
-    chosen = R.policy_rules() if chosen is None else chosen
-    found = scan(prepared, chosen, "masked")
-    quoted = lambda s: s.kind.contains("quoted_text")
-    touch = lambda s: (F.col("start") < s.end) & (F.col("end") > s.start)
-    kept = ~F.exists("spans", lambda s: touch(s) & (s.xa | (F.lit(not check_quotes) & quoted(s))))
-    found = found.where(kept & ~allowed(allowed_terms, allowed_patterns))
-    if overrides:
-        changed = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
-        found = found.withColumn("severity", F.coalesce(changed[F.col("rule_id")], F.col("severity")))
-    return found
-
-
-def allowed(terms: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
-    out = F.lower(F.trim("matched")).isin(*[t.strip().lower() for t in terms]) if terms else F.lit(False)
-    around = T.window(F.col("text"), F.col("start"), F.col("end"), 120, 120)
-    for p in patterns:
-        out = out | around.rlike("(?iU)" + p)
-    return out
-
-
-def deduplicate(found: DataFrame) -> DataFrame:
-    """Of findings with one span in a document the heaviest, of equal ones the smallest rule id."""
-    order = W.partitionBy("doc_id", "start", "end").orderBy(F.col("weight").desc(), "rule_id")
-    return found.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
-
-
-def across_layers(policy: DataFrame, style: DataFrame) -> DataFrame:
-    """Style findings that no policy finding of the same or a higher grade covers by 80 % of the shorter span."""
-    grade = F.create_map(*[F.lit(x) for pair in R.SEVERITY.items() for x in pair])
-    p = policy.select("doc_id", F.col("start").alias("ps"), F.col("end").alias("pe"), grade[F.col("severity")].alias("pg"))
-    shared = F.least(F.col("pe"), F.col("end")) - F.greatest(F.col("ps"), F.col("start"))
-    shorter = F.least(F.greatest(F.col("pe") - F.col("ps"), F.lit(1)), F.greatest(F.col("end") - F.col("start"), F.lit(1)))
-    s = style.withColumn("grade", grade[F.col("severity")])
-    return s.join(p, (s.doc_id == p.doc_id) & (shared >= 0.8 * shorter) & (F.col("pg") >= F.col("grade")), "left_anti").drop("grade")
+from textloom.functions.facts import Facts, Segments
+from textloom.operators import findings as K
+from textloom.sources.configs import PolicyConfig, StyleConfig
+
+FINDING = "struct<source:string,rule_id:string,category:string,severity:string,start:int,end:int,line:int,column:int,matched_text:string,explanation:string,suggestion:string,candidates:array<string>,weight:double,evidence_class:string,false_positive_risk:string,confidence:string,protected:boolean,protected_kind:string,nth:int>"
+EDIT = "struct<source:string,rule_id:string,start:int,end:int,original:string,replacement:string,rationale:string>"
+SPAN = "struct<start:int,end:int,kind:string,analysis:boolean,edit:boolean>"
+AUDIT = f"struct<format:string,word_count:int,sentence_count:int,paragraph_count:int,spans:array<{SPAN}>,findings:array<{FINDING}>,initial_findings:array<{FINDING}>,refined:string,edits:array<{EDIT}>,warnings:array<string>,idempotent:boolean>"
+SEGMENTS = "struct<words:int,sentences:array<struct<start:int,end:int,words:int,opening:string>>,paragraphs:array<struct<start:int,end:int,words:int,sentences:int>>>"
+SPANS = f"struct<format:string,masked:string,spans:array<{SPAN}>>"
+#: Rows of an Arrow batch, at most; texts may be long.
+BATCH_ROWS = 1000
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
+
+
+def column_of(result: DataFrame) -> str:
+    """Name of the column that an operator of this module added: the last."""
+    return result.columns[-1]
+
+
+def add(docs: DataFrame, name: str, kind: str, make: Callable[[str, str | None], dict], text: str = "text", source: str | None = None) -> DataFrame:
+    """``docs`` with one more column, a struct made of each row's text (and source name) by ``make``."""
+    spark, result = docs.sparkSession, fresh(docs, name)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    added: DataType = _parse_datatype_string(kind)
+    arrow, at, named = to_arrow_type(added), docs.columns.index(text), docs.columns.index(source) if source else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(named).to_pylist() if named is not None else [None] * batch.num_rows
+            made = [make(t or "", n) for t, n in zip(batch.column(at).to_pylist(), names, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[*batch.schema.names, result])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(result, added)]))
+
+
+def _spans(f: Facts) -> list[dict]:
+    s = f.spans
+    return [{"start": a, "end": b, "kind": k, "analysis": x, "edit": e} for a, b, k, x, e in zip(s.start.tolist(), s.end.tolist(), s.kind, s.analysis.tolist(), s.edit.tolist(), strict=True)]
+
+
+def _result(r: K.Refined, initial: list[K.Finding]) -> dict:
+    found = K.numbered(r.found)
+    return {
+        "format": r.facts.format, "word_count": Segments(r.text).word_count if r.text != r.facts.text else r.facts.word_count, "sentence_count": len(r.facts.clean.sentences), "paragraph_count": len(r.facts.clean.paragraphs), "spans": _spans(r.facts), "findings": found,
+        "initial_findings": found if initial is r.found else K.numbered(initial), "refined": r.text, "edits": [vars(e) for e in r.edits], "warnings": r.warnings, "idempotent": r.idempotent,
+    }
+
+
+def style_audit(docs: DataFrame, config: StyleConfig | None = None, text: str = "text", source: str | None = None) -> DataFrame:
+    """``docs`` with column ``audit`` (see AUDIT): the scored layer, and its edits in auto mode."""
+    config = config or StyleConfig()
+
+    def make(t: str, name: str | None) -> dict:
+        r = K.style_refine(t, name, config)
+        out = _result(r, r.found)
+        return out | {"word_count": r.facts.word_count}  # of the text as it came, as its scores are
+
+    return add(docs, "audit", AUDIT, make, text, source)
+
+
+def policy_audit(docs: DataFrame, config: PolicyConfig | None = None, text: str = "text", source: str | None = None) -> DataFrame:
+    """``docs`` with column ``audit`` (see AUDIT): both layers as one graded stream, and their edits in auto mode."""
+    config = config or PolicyConfig()
+    return add(docs, "audit", AUDIT, lambda t, name: _result(*K.policy_refine(t, name, config)), text, source)
+
+
+def segments(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with column ``segments`` (see SEGMENTS): sentences and paragraphs of the raw text."""
+
+    def make(t: str, _: str | None) -> dict:
+        s = Segments(t)
+        opening = lambda i, n: f"{s.token(i)} {s.token(i + 1)}" if n > 1 else None
+        return {
+            "words": s.word_count,
+            "sentences": [{"start": a, "end": b, "words": n, "opening": opening(i, n)} for (a, b), n, i in zip(s.sentences.tolist(), s.sentence_words.tolist(), s.sentence_first.tolist(), strict=True)],
+            "paragraphs": [{"start": a, "end": b, "words": n, "sentences": k} for (a, b), n, k in zip(s.paragraphs.tolist(), s.paragraph_words.tolist(), s.paragraph_sentences.tolist(), strict=True)],
+        }
+
+    return add(docs, "segments", SEGMENTS, make, text)
+
+
+def protected(docs: DataFrame, text: str = "text", source: str | None = None, fmt: str = "auto", extra: tuple[str, ...] = (), edit_quotes: bool = False) -> DataFrame:
+    """``docs`` with column ``protected`` (see SPANS): format, masked text and merged protected spans."""
+
+    def make(t: str, name: str | None) -> dict:
+        f = Facts(t, fmt, name, extra, edit_quotes)
+        return {"format": f.format, "masked": f.masked, "spans": _spans(f)}
+
+    return add(docs, "protected", SPANS, make, text, source)
+
+
+def exploded(audited: DataFrame, keep: list[str], which: str = "findings") -> DataFrame:
+    """One row a finding: the ``keep`` columns and the finding's fields."""
+    one = audited.select(*[F.col(f"`{c}`") for c in keep], F.explode(f"{column_of(audited)}.{which}").alias("_x"))
+    names = [f.name for f in _parse_datatype_string(FINDING).fields]
+    return one.select(*keep, *[F.col(f"_x.`{n}`").alias(n) for n in names if n not in keep])
 
 
 def fails(severity: Column, level: str) -> Column:
@@ -108,80 +130,97 @@ def fails(severity: Column, level: str) -> Column:
     return F.lit(False) if level == "none" else F.lit(True) if level == "any" else severity.isin("hard", "strong") if level == "strong" else severity == "hard"
 
 
-def gate(docs: DataFrame, found: DataFrame, level: str = "hard") -> DataFrame:
-    """Rows (doc_id, finding_count, failure_count, status) for every document."""
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(fails(F.col("severity"), level)).alias("f"))
-    out = docs.select("doc_id").join(counts, "doc_id", "left")
-    failures = F.coalesce("f", F.lit(0))
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("finding_count"), failures.alias("failure_count"), F.when(failures > 0, "fail").otherwise("pass").alias("status"))
+def gate(audited: DataFrame, keep: list[str], level: str = "hard") -> DataFrame:
+    """Rows (keep..., finding_count, failure_count, status), without a shuffle."""
+    found = F.col(f"{column_of(audited)}.findings")
+    n = F.size(F.filter(found, lambda x: fails(x.severity, level))).cast("long")
+    return audited.select(*keep, F.size(found).cast("long").alias("finding_count"), n.alias("failure_count"), F.when(n > 0, "fail").otherwise("pass").alias("status"))
+
+
+KEYS = ["source", "category", "severity", "false_positive_risk", "confidence", "evidence_class"]
+
 
+def counters(audited: DataFrame, keep: list[str]) -> DataFrame:
+    """Findings of each row by each of KEYS, as maps in columns ``<key>_counts``, without a shuffle."""
+    found = F.col(f"{column_of(audited)}.findings")
 
-def counters(found: DataFrame) -> DataFrame:
-    """Counts by category, severity, risk, confidence and evidence in one pass: (doc_id, key, value, n)."""
-    keys = ["category", "severity", "risk", "confidence", "evidence"]
-    each = found.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])).alias("x"))
-    return each.groupBy("doc_id", "x.key", "x.value").agg(F.count("*").alias("n"))
+    def of(key: str) -> Column:
+        values = F.transform(found, lambda x: x[key])
+        return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(v.alias("key"), F.size(F.filter(values, lambda x: x == v)).alias("value"))))
 
+    return audited.select(*keep, *[of(k).alias(f"{k}_counts") for k in KEYS])
 
-def diminishing(weight: Column, n: Column) -> Column:
-    """A rule's n equal findings: in full, then 3/4, a half, and a quarter each."""
-    return weight * F.when(n == 1, 1.0).when(n == 2, 1.75).otherwise(2.25 + 0.25 * (n - 3))
 
+def corpus_counts(audited: DataFrame, key: str) -> DataFrame:
+    """Rows (key, n, docs) over the whole table: findings, and rows that have one; counted in each row before a shuffle."""
+    per = counters(audited, []).select(F.explode(f"{key}_counts").alias("key", "n"))
+    return per.groupBy(F.col("key").alias(key)).agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
-def dimension_scores(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (doc_id, dimension, score, finding_count, band) for dimensions with findings. ``docs``: (doc_id, words)."""
-    spark = found.sparkSession
-    bridge = spark.createDataFrame([(d, c) for d, cs in R.DIMENSIONS.items() for c in cs], "dimension string, category string")
-    per_rule = found.groupBy("doc_id", "category", "rule_id").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
-    raw = per_rule.join(F.broadcast(bridge), "category").groupBy("doc_id", "dimension").agg(F.sum(diminishing(F.col("weight"), F.col("n"))).alias("raw"), F.sum("n").alias("finding_count"))
-    score = F.col("raw") * 1000 / F.greatest(F.lit(250), F.col("words"))
-    out = raw.join(docs.select("doc_id", "words"), "doc_id").withColumn("score", score)
-    return out.select("doc_id", "dimension", "score", "finding_count", band(F.col("score")).alias("band"))
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half to even, on the exact binary value."""
+    return F.regexp_replace(F.format_number(value, digits), ",", "").cast("double")
 
 
 def band(score: Column) -> Column:
     return F.when(score < 5, "low").when(score < 12, "moderate").when(score < 25, "high").otherwise("very_high")
 
 
-def texture(docs: DataFrame) -> DataFrame:
-    """Sentence and paragraph lengths, contractions, direct address, numbers and asides of every document."""
-    t = F.coalesce("text", F.lit(""))
-    m = T.mean(F.col("lengths"))
-    cv = F.when((m == 0) | (F.size("lengths") < 2), F.lit(0.0)).otherwise(T.variation(F.col("lengths")))
-    made = T.once(docs.select("doc_id", t.alias("text")), "lengths", F.transform(T.sentences(F.col("text")), T.word_count))
-    made = made.select("doc_id", "text", "lengths", F.transform(T.paragraphs(F.col("text")), lambda p: F.size(T.sentences(p))).alias("paragraph_sentence_counts"))
-    return made.select(
-        "doc_id", F.size("lengths").alias("sentences"), m.alias("sentence_word_mean"), F.coalesce(F.array_min("lengths"), F.lit(0)).alias("sentence_word_min"), F.coalesce(F.array_max("lengths"), F.lit(0)).alias("sentence_word_max"), cv.alias("sentence_length_cv"), "paragraph_sentence_counts",
-        T.count(F.col("text"), T.CONTRACTION).alias("contraction_count"), T.count(F.col("text"), T.ADDRESS).alias("direct_address_count"), T.count(F.col("text"), T.NUMBER, "U").alias("number_count"), T.count(F.col("text"), T.PARENTHETICAL).alias("parenthetical_count"),
+def weighed(found: Column) -> Column:
+    """Sum of weights: a rule's first finding in full, the second by 3/4, the third by half, others by a quarter."""
+    share = lambda n: F.when(n == 1, 1.0).when(n == 2, 0.75).when(n == 3, 0.5).otherwise(0.25)
+    return F.aggregate(found, F.lit(0.0), lambda s, x: s + x.weight * share(x.nth))
+
+
+def scores(audited: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (keep..., dimension, score, band, finding_count) for every dimension, marker density of all findings last."""
+    audit = column_of(audited)
+    found, words = F.col(f"{audit}.findings"), F.col(f"{audit}.word_count")
+    of = lambda cs: F.filter(found, lambda x: x.category.isin(*cs))
+    chosen = [(d, of(cs)) for d, cs in R.DIMENSIONS.items()] + [("marker_density", found)]
+    score = lambda f: rounded(weighed(f) * 1000 / F.greatest(F.lit(250), words), 2)
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), score(f).alias("score"), F.size(f).cast("long").alias("finding_count")) for d, f in chosen])
+    one = audited.select(*keep, F.explode(each).alias("_x"))
+    return one.select(*keep, "_x.dimension", "_x.score", band(F.col("_x.score")).alias("band"), "_x.finding_count")
+
+
+def metrics(audited: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Counts of the text, its protection and findings, one row each."""
+    a, t = column_of(audited), F.coalesce(F.col(text), F.lit(""))
+    kept = F.aggregate(F.col(f"{a}.spans"), F.lit(0), lambda s, x: s + F.when(x.edit, x.end - x.start).otherwise(0))
+    found = F.col(f"{a}.findings")
+    density = rounded(weighed(found) * 1000 / F.greatest(F.lit(250), F.col(f"{a}.word_count")), 2)
+    return audited.select(
+        *keep, f"{a}.format", f"{a}.word_count", f"{a}.sentence_count", f"{a}.paragraph_count", F.size(found).alias("finding_count"), F.size(f"{a}.edits").alias("applied_edit_count"), density.alias("marker_density_score"), band(density).alias("marker_density_band"),
+        F.size(f"{a}.spans").alias("protected_span_count"), kept.alias("protected_character_count"), rounded(kept / F.greatest(F.lit(1), F.length(t)), 4).alias("protected_character_fraction"), (F.length(t) - F.length(F.replace(t, F.lit("—")))).alias("em_dash_count"),
+        (F.length(t) - F.length(F.replace(t, F.lit(":")))).alias("colon_count"), (F.col(f"{a}.refined") != t).alias("changed"), f"{a}.idempotent", F.lit(len(R.style_rules())).alias("registry_rule_count"), F.lit(sum(r.pattern is None for r in R.style_rules())).alias("structural_analyzer_count"),
+    )
+
+
+def texture(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Sentence and paragraph lengths, contractions, direct address, numbers and asides of every row."""
+    from textloom.functions import text as T
+
+    s = segments(docs, text)
+    made, t = column_of(s), F.coalesce(F.col(text), F.lit(""))
+    lengths = F.col(f"{made}.sentences.words")
+    mean = F.coalesce(F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(lengths), F.lit(0)), F.lit(0.0))
+    spread = F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.size(lengths), F.lit(0)))
+    d = s.withColumn("mean", mean)
+    cv = F.when((F.col("mean") == 0) | (F.size(lengths) < 2), F.lit(0.0)).otherwise(spread / F.col("mean"))
+    least = lambda f: F.coalesce(f(lengths), F.lit(0))
+    return d.select(
+        *keep, F.size(lengths).alias("sentences"), rounded(F.col("mean"), 2).alias("sentence_word_mean"), least(F.array_min).alias("sentence_word_min"), least(F.array_max).alias("sentence_word_max"), rounded(cv, 3).alias("sentence_length_cv"),
+        F.col(f"{made}.paragraphs.sentences").alias("paragraph_sentence_counts"), T.count(t, T.CONTRACTION).alias("contraction_count"), T.count(t, T.ADDRESS).alias("direct_address_count"), T.count(t, T.NUMBER, "U").alias("number_count"), T.count(t, T.PARENTHETICAL).alias("parenthetical_count"),
     )
 
 
-def safe_edits(prepared: DataFrame, max_risk: str = "low", min_confidence: str = "low", profile: str = "plain") -> DataFrame:
-    """``prepared`` with refined text and number of edits: sanitation, redundant prefixes and modals, numeric dashes, "in order to".
-
-    An edit that touches an edit-protected span isn't made; if numbers, links, addresses or citations would change, the
-    whole document stays as it was.
-    """
-    text, taken = F.col("text"), []
-
-    def of(pattern: str, replace, flags: str = "isU") -> None:
-        taken.append(F.transform(T.find(text, pattern, flags), lambda m: F.struct(m.start.alias("start"), (-F.length(m.text)).alias("size"), m.end.alias("end"), replace(m.text).alias("replacement"))))
-
-    for r in R.enabled(R.style_rules(), profile, min_confidence=min_confidence):
-        if r.action != "safe_replace" or R.LEVEL[r.risk] > R.LEVEL[max_risk]:
-            continue
-        if r.rule_id.startswith("SAFE_PREFIX"):
-            of(r.pattern, lambda t: F.upper(F.right(t, F.lit(1))))
-        elif r.rule_id.startswith("SAFE_REDUNDANT"):
-            of(r.pattern, lambda t: F.regexp_extract(t, r"^\w+", 0))
-        elif r.rule_id != "MECH_REPEATED_SPACES" and r.suggestion is not None:
-            of(r.pattern, lambda t, s=r.suggestion: F.lit(s))
-    if R.PROFILES[profile][0] != "preserve":
-        of(r"(?<=\d)[ \t]*—[ \t]*(?=\d)", lambda t: F.lit("–"))
-    of(r"\bin\s+order\s+to\b", lambda t: F.when(t.rlike("^[A-Z]"), "To").otherwise("to"))
-    edits = F.array_sort(F.filter(F.concat(*taken), lambda e: ~T.overlapping(F.col("spans"), e.start, e.end, "xe")))
-    out = T.once(T.once(prepared, "edits", edits), "refined", T.apply_edits(text, F.col("edits")))
-    same = F.lit(True)
-    for pattern, flags in ((T.URL, "iU"), (T.EMAIL, "iU"), (T.DOI, "iU"), (T.CITATION, "U"), (T.NUMBER, "U")):
-        same = same & (F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(0)) == F.regexp_extract_all("refined", F.lit(f"(?{flags}){pattern}"), F.lit(0)))
-    return out.withColumn("refined", F.when(same, F.col("refined")).otherwise(text)).withColumn("edit_count", F.when(same, F.size("edits")).otherwise(0))
+def openings(docs: DataFrame, keep: list[str], text: str = "text", least: int = 3) -> DataFrame:
+    """Rows (keep..., opening, n): two lower-cased first words that ``least`` sentences of a row share."""
+    s = segments(docs, text)
+    said = F.array_sort(F.filter(F.col(f"{column_of(s)}.sentences.opening"), lambda x: x.isNotNull()))
+    nothing = F.expr("named_struct('last', cast(null as string), 'n', 0, 'found', cast(array() as array<struct<opening:string,n:int>>))")
+    closed = lambda s: F.when(s.n >= least, F.concat(s.found, F.array(F.struct(s["last"].alias("opening"), s.n.alias("n"))))).otherwise(s.found)
+    step = lambda s, x: F.when(x.eqNullSafe(s["last"]), F.struct(s["last"].alias("last"), (s.n + 1).alias("n"), s.found.alias("found"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("n"), closed(s).alias("found")))
+    one = s.select(*keep, F.explode(F.aggregate(said, nothing, step, closed)).alias("_x"))
+    return one.select(*keep, "_x.opening", F.col("_x.n").cast("long").alias("n"))

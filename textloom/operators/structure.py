@@ -1,240 +1,315 @@
-"""Structure of a text: repetition, density and layout rules, dash classes, and the procedural policy rules.
+"""Rules on the shape of a text: repetition, density, layout, dashes, and the graded layer's procedural rules.
 
-Each function takes prepared documents (doc_id, text, masked, spans, format) and gives rows (doc_id, rule_id, detail); all
-but the openings of sentences need no shuffle.
+Each family is a generator over ``Facts``; thresholds stand beside their tests. They yield places, that is rule name,
+start, end and what the registry's texts are filled with.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 from textloom.functions import registry as R
-from textloom.functions import text as T
+from textloom.functions.facts import NUMBER, WORD, Facts
 
-# Word lists and limits of the structural rules.
-STOPWORDS = "a an and are as at be because been but by for from had has have he her his i in is it its of on or our she that the their them they this to was we were will with you your".split()
+# Word lists and patterns of the structural, dash and procedural rules.
+STOPWORDS = frozenset("a an and are as at be because been but by for from had has have he her his i in is it its of on or our she that the their them they this to was we were will with you your".split())
 REVELATIONS = ["but there is a catch", "the real issue is", "the deeper problem is", "the surprising part is", "that is where things get interesting", "here's why", "here is why", "here's how", "here is how", "here's what matters", "here is what matters", "here's the thing", "here is the thing"]
 EXAMPLES = ["imagine a world where", "picture this", "consider a scenario in which", "suppose you are", "for example, imagine", "take the case of", "think of it as", "a useful analogy is", "to illustrate", "in practical terms", "in real-world applications"]
+CONCRETE = re.compile(r"(?i)\b(?:because|when|after|before|using|measured|cost|rate|date|named|called)\b")
+PROPER = re.compile(r"[A-Z](?<!\w.)(?<![.!?]\s.)[a-z]{2,}(?!\w)")
+CONJUNCTION = re.compile(r"(?i)(?:and|but|so|yet|however|still)\b")
+HERE = re.compile(r"(?i)here(?:'|’)s\b|here\s+is\b")
+FRAGMENT = re.compile(r"(?i)^(?:the|a|your|our|one)\s+[\w’'-]{1,24}\?$")
+ENDING = re.compile(r"(?i)(?:this\s+(?:highlights|underscores|demonstrates|shows|suggests)|ultimately|taken\s+together)[^.!?]*[.!?]?\s*$")
+CONSENSUS = re.compile(r"(?i)\b(?:researchers|experts|scientists|analysts|many\s+people|the\s+literature)\s+(?:agree|believe|suggest|indicate|show|have\s+shown)\b")
+BULLET = re.compile(r"^\s*(?:[-*+]\s+|\d+[.)]\s+)(.+)$")
+BOLD_LABEL = re.compile(r"\*\*[^*\r\n]{1,60}:\*\*")
+HEADED = re.compile(r"^\s{0,3}#{1,6}\s+\S")
+FINITE = re.compile(r"(?i)\b(?:am|is|are|was|were|be|been|being|have|has|had|do|does|did|can|could|may|might|must|shall|should|will|would|seem|seems|seemed|become|becomes|became|remain|remains|remained|show|shows|showed|indicate|indicates|indicated|produce|produces|produced|cause|causes|caused|support|supports|supported|need|needs|needed|matter|matters|mattered|[A-Za-z]{3,}(?:ed|es))\b")
+SUBJECT = re.compile(r"(?i)^(?:i|you|he|she|it|we|they|the|a|an|this|that|these|those|my|your|our|their|[A-Z][a-z]+)\b")
+SIGNATURE = re.compile(r"[A-Z][A-Za-z.'’-]+(?:\s+[A-Z][A-Za-z.'’-]+){0,4}\s*$")
+BREAKING = re.compile(r"(?i)(?:actually|well|wait|sorry|rather|no\b|i\s+mean|more\s+precisely|at\s+least)\b")
+LISTING = re.compile(r"(?i)\b(?:includes?|included|following|namely|such\s+as|parts?|items?|elements?|components?|steps?|reasons?|factors?)\b[^—.!?]{0,40}$")
+EXPLAINING = re.compile(r"(?i)\b(?:explanation|reason|answer|result|goal|problem|fact|conclusion|requirement|choice|option|remained|was|is)\s*$")
+#: Of a dash: what is advised, by rule, where no rewrite is.
+DASH_ADVICE = {"NUMERIC_RANGE": "Use an en dash between numeric endpoints.", "ATTRIBUTION": "Preserve the attribution dash unless the house style specifies another signature format.", "INTERRUPTION": "Preserve the em dash; it marks interruption or self-correction.", "AMBIGUOUS": "Review manually; comma, semicolon, colon, period, and preservation encode different relations."}
+#: Of a dash: its replacement and why, and the confidence of each kind.
+DASH_EDITS = {"NUMERIC_RANGE": ("–", "Normalize a numeric range to an en dash."), "INDEPENDENT_CLAUSES": ("; ", "Join two plausible independent clauses with a semicolon."), "LIST_INTRODUCTION": (": ", "Introduce an explicit list with a colon."), "APPOSITIONAL": (": ", "Introduce an appositional or explanatory expansion with a colon."), "PAIRED_PARENTHETICAL": (", ", "Replace a short paired parenthetical with commas.")}
+DASH_PAIR = "Paired em dashes appear to mark a parenthetical insertion. Commas or parentheses may preserve the relation with less punctuation emphasis."
+HEADING = re.compile(r"(?m)^(?P<prefix>\s{0,3}#{1,6}\s+)(?P<title>[^#\r\n].*?)(?:\s+#+)?$")
+BOLD = re.compile(r"(?<!\*)\*\*(?!\s)(.+?)(?<!\s)\*\*(?!\*)")
+MINOR = frozenset("a an and as at but by for from in of on or the to with".split())
+NUMBER_WORDS = {"two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
+NUMBER_WORD = re.compile(r"(?i)\b(?:two|three|four|five|six|seven|eight|nine|ten)\b")
+PAIRING = re.compile(r"\b(?:between|either|both)\s+$")
 UNCONTRACTED = {"do not": "don't", "does not": "doesn't", "did not": "didn't", "cannot": "can't", "can not": "can't", "will not": "won't", "would not": "wouldn't", "is not": "isn't", "are not": "aren't", "was not": "wasn't", "were not": "weren't", "i am": "I'm", "we are": "we're", "you are": "you're", "they are": "they're", "it is": "it's", "that is": "that's", "there is": "there's"}
-NUMBER_WORDS = r"\b(?:two|three|four|five|six|seven|eight|nine|ten)\b"
-TRIAD = r"(?<![,;])\b[^,;.!?\n:]{1,45},\s+[^,;.!?\n:]{1,45},\s+(?:and|or)\s+[^,;.!?\n:]{1,45}(?=[.!?;]|$)"
-BULLET = r"^\s*(?:[-*+]|\d+[.)])\s+"
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-MINOR = "a|an|and|as|at|but|by|for|from|in|of|on|or|the|to|vs|with"
+TRIAD = re.compile(r"(?i)(?<![,;])\b(?P<a>[^,;.!?\n:]{1,45}),\s+(?P<b>[^,;.!?\n:]{1,45}),\s+(?:and|or)\s+(?P<c>[^,;.!?\n:]{1,45})(?=[.!?;]|$)")
+ADDRESS = re.compile(r"(?i)\b(?:I|me|my|we|our|you|your)\b")
+QUOTE = re.compile(r"[“\"][^”\"\n]{3,80}[”\"]")
+DATED = re.compile(r"\b(?:19|20)\d{2}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\b")
 # End of fixed values.
 
-
-def _rows(docs: DataFrame, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """One row for each rule that fires in a document."""
-    fired = F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule_id"), detail.cast("string").alias("detail"))) for rule, (when, detail) in tests.items()])
-    return docs.select("doc_id", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.rule_id", "x.detail")
-
-
-def measured(prepared: DataFrame) -> DataFrame:
-    """Sentences, paragraphs, lines and bullets of the masked text as columns."""
-    m = F.col("masked")
-    out = T.once(T.once(T.once(prepared, "sentences", T.sentences(m)), "paragraphs", T.paragraphs(m)), "lines", F.split(m, "\n"))
-    out = T.once(out, "words", F.greatest(F.lit(1), T.word_count(m)))
-    return T.once(out, "bullets", F.transform(F.filter("lines", lambda x: x.rlike(BULLET + r"\S")), lambda x: F.regexp_replace(x, BULLET, "")))
-
-
-def bullet_blocks(lines: Column) -> Column:
-    """Sizes of the runs of bullet lines."""
-    marks = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(BULLET + r"\S"), "b").otherwise("-")), "")
-    return F.transform(F.regexp_extract_all(marks, F.lit("b+"), F.lit(0)), F.length)
-
-
-def structural(prepared: DataFrame) -> DataFrame:
-    """Repetition, architecture and density rules of the scored layer."""
-    d = measured(prepared)
-    s, p, words, masked = F.col("sentences"), F.col("paragraphs"), F.col("words"), F.col("masked")
-    n = F.size(s)
-    d = T.once(T.once(d, "long", F.filter(F.transform(s, T.word_count), lambda x: x >= 4)), "wide", F.filter(F.transform(p, T.word_count), lambda x: x >= 8))
-    long, wide = F.col("long"), F.col("wide")
-    starts = lambda pattern: F.size(F.filter(s, lambda x: x.rlike("(?iU)^\\W*" + pattern)))
-    headings = T.count(masked, r"^#{1,6}\s+\S", "m")
-    blocks = F.size(F.filter(bullet_blocks(F.col("lines")), lambda x: x == 3))
-    bullets = F.col("bullets")
-    labelled = F.size(F.filter(bullets, lambda x: x.rlike(r"^\*\*[^*]+(?::\*\*|\*\*\s*:)")))
-    heads = F.transform(bullets, lambda x: F.lower(F.regexp_extract(x, r"(?U)[\w’'-]+", 0)))
-    top = F.array_max(F.transform(F.array_distinct(heads), lambda h: F.size(F.filter(heads, lambda x: x == h))))
-    revelation = "|".join(R.literal(x) for x in REVELATIONS)
-    pivots = F.size(F.filter(p, lambda x: T.word_count(x).between(1, 8) & (F.size(T.sentences(x)) <= 1) & (x.endswith("?") | x.rlike("(?iU)" + revelation))))
-    fragments = F.size(F.filter(p, lambda x: x.rlike(r"(?iU)^(?:the|a|your|our|one)\s+[^?\n]{1,60}\?\z")))
-    conjunctions, participles = starts(r"(?:and|but|so|or|yet)\b"), F.size(F.filter(s, lambda x: x.rlike(r"(?iU)^\W*\w+ing\b.{0,95}?,")))
-    nominal = T.count(masked, r"\b(?:" + "|".join(R.NOM) + r")\b")
-    colons, dashes = T.count(masked, r":(?!//)"), T.count(masked, "—")
-    endings = F.size(F.filter(p, lambda x: F.coalesce(F.try_element_at(T.sentences(x), F.lit(-1)), F.lit("")).rlike(r"(?iU)^(?:this|that|these|it)\s+(?:means|suggests|shows|highlights|underscores|demonstrates|reflects|points\s+to)\b")))
-    vague = F.size(F.filter(s, lambda x: x.rlike("(?iU)^\\W*(?:" + "|".join(e.replace(" ", r"\s+") for e in EXAMPLES) + r")\b") & ~x.rlike(r"\d") & ~x.rlike(r"(?<=[a-z,]\s)[A-Z][a-z]{2,}")))
-    consensus = F.filter(T.find(masked, r"\b(?:experts|researchers|scientists|studies|research)\s+(?:agree|say|show|suggest|indicate)s?\b", "iU"), lambda m: ~T.near_source(F.col("text"), m.start, m.end))
-    return _rows(
-        d,
-        {
-            "STRUCT_UNIFORM_SENTENCE_LENGTH": ((F.size(long) >= 8) & (T.mean(long) >= 8) & (T.variation(long) <= 0.22), F.size(long)),
-            "STRUCT_UNIFORM_PARAGRAPH_LENGTH": ((F.size(wide) >= 5) & (T.mean(wide) >= 20) & (T.variation(wide) <= 0.20), F.size(wide)),
-            "STRUCT_EXCESSIVE_HEADINGS": ((headings >= 4) & (words / headings < 85), headings),
-            "STRUCT_THREE_ITEM_BLOCKS": (blocks >= 2, blocks),
-            "STRUCT_BOLD_LABEL_BULLETS": ((F.size(bullets) >= 4) & (labelled >= 3) & (labelled / F.size(bullets) >= 0.6), labelled),
-            "STRUCT_DRAMATIC_PIVOT_PARAGRAPHS": (pivots >= 3, pivots),
-            "STRUCT_QUESTION_FRAGMENTS": (fragments >= 2, fragments),
-            "STRUCT_HERES_REPETITION": (starts(r"here(?:['’]s|\s+is)\b") >= 3, starts(r"here(?:['’]s|\s+is)\b")),
-            "STRUCT_CONTROLLED_REVELATION": (T.count(masked, revelation) >= 3, T.count(masked, revelation)),
-            "STRUCT_INITIAL_CONJUNCTIONS": ((n >= 8) & (conjunctions >= 3) & (conjunctions / n >= 0.35), conjunctions),
-            "STRUCT_PARTICIPIAL_OPENINGS": ((n >= 6) & (participles >= 3) & (participles / n >= 0.25), participles),
-            "STRUCT_NOMINALIZATION_DENSITY": ((nominal >= 5) & (nominal / words >= 0.04), nominal),
-            "STRUCT_COLON_DENSITY": ((colons >= 4) & (colons * 1000 / words >= 12), colons),
-            "STRUCT_EM_DASH_DENSITY": ((dashes >= 3) & (dashes * 1000 / words >= 8), dashes),
-            "STRUCT_BULLET_UNIFORMITY": ((F.size(bullets) >= 5) & ((T.variation(F.transform(bullets, T.word_count)) <= 0.18) | (top / F.size(bullets) >= 0.6)), F.size(bullets)),
-            "STRUCT_PARAGRAPH_ENDING_FORMULA": (endings >= 3, endings),
-            "STRUCT_GENERIC_EXAMPLE_WITHOUT_DETAIL": (vague >= 1, vague),
-            "STRUCT_UNSUPPORTED_CONSENSUS": (F.size(consensus) >= 1, F.size(consensus)),
-        },
-    )
-
-
-def repeated_openings(prepared: DataFrame, least: int = 3) -> DataFrame:
-    """Rows (doc_id, opening, n): two lower-cased first words that ``least`` sentences of a document share."""
-    heads = F.transform(T.sentences(F.col("masked")), lambda x: F.slice(F.regexp_extract_all(F.lower(x), F.lit(T.WORD), F.lit(0)), 1, 2))
-    each = prepared.select("doc_id", F.explode(F.filter(heads, lambda h: F.size(h) == 2)).alias("h"))
-    return each.groupBy("doc_id", F.array_join("h", " ").alias("opening")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of two texts' characters in common blocks, as difflib has it."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else np.nan for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(StringType())
-def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Unified diff of two texts by lines."""
-    import difflib
-
-    return pd.Series(["".join(difflib.unified_diff((x or "").splitlines(True), (y or "").splitlines(True), "original", "refined")) for x, y in zip(a, b, strict=True)])
-
-
-def intro_conclusion(prepared: DataFrame) -> DataFrame:
-    """Documents whose last long paragraph restates the first: token sets first, the character ratio on those left."""
-    p = F.filter(T.paragraphs(F.col("masked")), lambda x: T.word_count(x) >= 20)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    tokens = lambda x: F.array_distinct(F.filter(F.array_except(F.regexp_extract_all(F.lower(x), F.lit(T.WORD), F.lit(0)), stop), lambda t: F.length(t) > 2))
-    d = prepared.select("doc_id", p.alias("p")).where(F.size("p") >= 4).select("doc_id", F.get("p", F.lit(0)).alias("a"), F.try_element_at("p", F.lit(-1)).alias("b"))
-    d = d.withColumn("jaccard", F.size(F.array_intersect(tokens(F.col("a")), tokens(F.col("b")))) / F.size(F.array_union(tokens(F.col("a")), tokens(F.col("b")))))
-    return d.where("jaccard >= 0.42").withColumn("ratio", ratio("a", "b")).where("ratio >= 0.55").select("doc_id", "jaccard", "ratio")
-
-
-def procedural(prepared: DataFrame) -> DataFrame:
-    """Procedural rules of the graded layer."""
-    text, masked, spans = F.col("text"), F.col("masked"), F.col("spans")
-    markdown = F.col("format") == "markdown"
-    free = lambda found: F.filter(found, lambda m: ~F.exists(spans, lambda s: (m.start < s.end) & (m.end > s.start) & (s.xa | s.kind.contains("quoted_text"))))
-    long = F.filter(F.transform(T.paragraphs(masked), lambda p: F.size(T.sentences(p))), lambda n: n > 3)
-    headings = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*$"), F.lit(1)), title_case)
-    sections = F.filter(F.transform(F.split(text, r"(?m)(?=^#{1,6}[ \t])"), lambda x: T.count(x, r"\*\*[^*\n]+\*\*", "U")), lambda n: n > 2)
-    numbers = F.filter(T.find(masked, NUMBER_WORDS, "iU"), lambda m: ~T.window(masked, m.start, m.end, 20, 25).rlike("(?i)one or ") & ~T.window(masked, m.start, m.start, 20, 0).rlike(r"(?iU)\b(?:between|either|both)\s+\z"))
-    forms = free(T.find(masked, r"\b(?:" + "|".join(sorted(UNCONTRACTED, key=len, reverse=True)) + r")\b", "iU"))
-    triads = F.filter(free(T.find(masked, TRIAD, "iU")), lambda m: ~F.exists(F.split(m.text, ","), lambda part: T.word_count(part) > 9))
-    words = T.word_count(masked)
-    concrete = T.count(masked, T.NUMBER, "U") + T.count(text, r"(?<![.!?]\s)\b[A-Z][a-z]{2,}\b", "U") + T.count(text, r"[“\"][^”\"\n]{3,80}[”\"]", "U") + T.count(text, r"\b(?:19|20)\d{2}\b|\b(?:" + MONTHS + r")\b", "U")
-    dashes = free(T.find(text, "—"))
-    return _rows(
-        prepared,
-        {
-            "VD_EM_DASH": (F.size(dashes) > 0, F.size(dashes)),
-            "VD_LONG_PARAGRAPH": (F.size(long) > 0, F.size(long)),
-            "VD_TITLE_CASE_HEADING": (markdown & (F.size(headings) > 0), F.size(headings)),
-            "VD_BOLD_DENSITY": (markdown & (F.size(sections) > 0), F.size(sections)),
-            "VD_NUMBER_WORD": (F.size(numbers) > 0, F.size(numbers)),
-            "VD_UNCONTRACTED_FORM": (F.size(forms) > 0, F.size(forms)),
-            "VD_RULE_OF_THREE": (F.size(triads) > 0, F.size(triads)),
-            "VD_LOW_SPECIFICITY": ((words >= 180) & (concrete <= F.greatest(F.lit(2), F.floor(words / 180))), concrete),
-            "VD_NO_DIRECT_ADDRESS": ((words >= 180) & (T.count(masked, T.ADDRESS) == 0), F.lit(0)),
-        },
-    )
-
-
-def procedural_findings(prepared: DataFrame) -> DataFrame:
-    """The procedural rules as findings, a row for each place, in the columns of ``audit.policy_findings``."""
-    text, masked, spans = F.col("text"), F.col("masked"), F.col("spans")
-    free = lambda found: F.filter(found, lambda m: ~F.exists(spans, lambda s: (m.start < s.end) & (m.end > s.start) & (s.xa | s.kind.contains("quoted_text"))))
-    place = lambda start, end, matched: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), matched.alias("text"))
-    paragraphs = T.find(masked, rf"\S.*?(?=\s*(?:{T.BREAK})|\s*\z)")
-    lines = T.find(text, r"^#{1,6}[ \t]+[^\r\n]+?[ \t]*#*$", "smU")
-    d = T.once(T.once(prepared, "lines", lines), "bold", free(T.find(text, r"\*\*[^*\n]+\*\*", "sU")))
-    d = T.once(d, "bounds", F.concat(F.array(F.lit(0)), F.transform("lines", lambda m: m.start), F.array(F.length(text))))
-    before = lambda m: F.length(F.regexp_extract(m.text, r"^#{1,6}[ \t]+", 0))
-    title = lambda m: F.regexp_extract(m.text, r"(?s)^#{1,6}[ \t]+(.+?)[ \t]*#*\z", 1)
-    titles = F.transform("lines", lambda m: place(m.start + before(m), m.start + before(m) + F.length(title(m)), title(m)))
-    sections = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda i: F.filter("bold", lambda m: (m.start >= F.element_at("bounds", i)) & (m.end <= F.element_at("bounds", i + 1))))
-    numbers = F.filter(T.find(masked, NUMBER_WORDS, "isU"), lambda m: ~T.window(masked, m.start, m.end, 20, 25).rlike("(?i)one or ") & ~T.window(masked, m.start, m.start, 20, 0).rlike(r"(?iU)\b(?:between|either|both)\s+\z"))
-    triads = F.filter(free(T.find(masked, TRIAD, "isU")), lambda m: ~F.exists(F.split(m.text, ","), lambda part: T.word_count(part) > 9))
-    words = T.word_count(masked)
-    concrete = T.count(masked, T.NUMBER, "U") + T.count(text, r"(?<![.!?]\s)\b[A-Z][a-z]{2,}\b", "U") + T.count(text, r"[“\"][^”\"\n]{3,80}[”\"]", "U") + T.count(text, r"\b(?:19|20)\d{2}\b|\b(?:" + MONTHS + r")\b", "U")
-    whole = lambda when: F.filter(F.array(place(F.lit(0), F.least(F.length(text), F.lit(1)), F.substring(text, 1, 1))), lambda m: (words >= 180) & when)
-    found = {
-        "VD_EM_DASH": free(T.find(text, "—")),
-        "VD_LONG_PARAGRAPH": F.filter(paragraphs, lambda m: F.size(T.sentences(m.text)) > 3),
-        "VD_TITLE_CASE_HEADING": F.filter(free(titles), lambda m: title_case(m.text)),
-        "VD_BOLD_DENSITY": F.transform(F.filter(sections, lambda x: F.size(x) > 2), lambda x: place(x[2].start, F.element_at(x, -1).end, F.concat(F.size(x), F.lit(" bold spans")))),
-        "VD_NUMBER_WORD": numbers,
-        "VD_UNCONTRACTED_FORM": free(T.find(masked, r"\b(?:" + "|".join(sorted(UNCONTRACTED, key=len, reverse=True)) + r")\b", "isU")),
-        "VD_RULE_OF_THREE": triads,
-        "VD_LOW_SPECIFICITY": whole(concrete <= F.greatest(F.lit(2), F.floor(words / 180))),
-        "VD_NO_DIRECT_ADDRESS": whole(T.count(masked, T.ADDRESS) == 0),
+_REVELATION = re.compile("(?i)" + "|".join(re.escape(x) for x in REVELATIONS))
+_EXAMPLE = re.compile("(?i)" + "|".join(re.escape(x) for x in EXAMPLES))
+_FORM = re.compile(r"(?i)\b(?:" + "|".join(sorted(UNCONTRACTED, key=len, reverse=True)) + r")\b")
+_DIGIT = re.compile(r"\d")
+_LISTED = re.compile(r"(?i),\s+(?:and|or)\s")
+_NOUNS = frozenset(R.NOM)
+_CLAIMANTS = frozenset("researchers experts scientists analysts people literature".split())
+_ADDRESSED = frozenset("i me my we our you your".split())
+_MONTHS = frozenset("january february march april may june july august september october november december".split())
+
+Place = tuple[str, int, int, dict]
+
+
+def variation(values: np.ndarray) -> float:
+    """Population standard deviation over the mean; infinite for fewer than two values or a mean of 0."""
+    return float(np.std(values) / np.mean(values)) if len(values) > 1 and np.mean(values) else float("inf")
+
+
+def reach(spans) -> tuple[int, int]:
+    """From the start of the first span to the end of the last."""
+    return int(spans[0][0]), int(spans[-1][1])
+
+
+def bullet_runs(lines: list[tuple[int, int, str]]) -> list[list[tuple[int, int, str]]]:
+    """Runs of neighbouring bullet lines, as (start, end, item)."""
+    marked = [(a, b, BULLET.match(line)) for a, b, line in lines]
+    return [[(a, b, m[1]) for a, b, m in run] for bullet, run in groupby(marked, lambda x: x[2] is not None) if bullet]
+
+
+def _evenness(f: Facts) -> Iterator[Place]:
+    c = f.clean
+    for name, spans, sizes, least, few, mean, most in (("UNIFORM_SENTENCE_LENGTH", c.sentences, c.sentence_words, 4, 8, 8, 0.22), ("UNIFORM_PARAGRAPH_LENGTH", c.paragraphs, c.paragraph_words, 8, 5, 20, 0.20)):
+        long = sizes[sizes >= least]
+        if len(long) >= few and long.mean() >= mean and (cv := variation(long)) <= most:
+            yield name, *reach(spans), {"n": len(long), "mean": float(long.mean()), "cv": cv}
+
+
+def _openings(f: Facts) -> Iterator[Place]:
+    c = f.clean
+    met: dict[str, list[int]] = {}
+    for k in np.flatnonzero(c.sentence_words >= 2).tolist():
+        i = int(c.sentence_first[k])
+        met.setdefault(f"{c.token(i)} {c.token(i + 1)}", []).append(k)
+    for opening, at in sorted(met.items()):
+        if len(at) >= 3:
+            start, end = c.sentences[at[0]].tolist()
+            yield "REPEATED_SENTENCE_OPENING", start, min(end, start + 80), {"opening": opening, "n": len(at)}
+
+
+def _layout(f: Facts) -> Iterator[Place]:
+    c, words = f.clean, max(1, f.clean.word_count)
+    headings = [x for x in c.lines if HEADED.match(x[2])] if "#" in c.text else []
+    if len(headings) >= 4 and words / len(headings) < 85:
+        yield "EXCESSIVE_HEADINGS", *reach(headings), {"n": len(headings), "words": words}
+    runs = bullet_runs(c.lines)
+    threes = [run for run in runs if len(run) == 3]
+    if len(threes) >= 2:
+        yield "THREE_ITEM_BLOCKS", *reach([x for run in threes for x in run]), {"n": len(threes)}
+    bullets = [x for run in runs for x in run]
+    labelled = [x for x in bullets if BOLD_LABEL.match(x[2].strip())]
+    if len(bullets) >= 4 and len(labelled) >= 3 and len(labelled) / len(bullets) >= 0.6:
+        yield "BOLD_LABEL_BULLETS", *reach(labelled), {"n": len(labelled)}
+    if len(bullets) >= 5:
+        words_of = [WORD.findall(x[2].lower()) for x in bullets]
+        firsts = Counter(w[0] for w in words_of if w)
+        cv, share = variation(np.array([len(w) for w in words_of])), max(firsts.values(), default=0) / max(1, firsts.total())
+        if cv <= 0.18 or share >= 0.6:
+            yield "BULLET_UNIFORMITY", *reach(bullets), {"n": len(bullets), "cv": cv, "share": share}
+
+
+def _staging(f: Facts) -> Iterator[Place]:
+    """Paragraphs and sentences that announce or reveal."""
+    c = f.clean
+    body = lambda s: c.text[s[0] : s[1]]
+    short = [s for s, n, k in zip(c.paragraphs.tolist(), c.paragraph_words.tolist(), c.paragraph_sentences.tolist(), strict=True) if 1 <= n <= 8 and k <= 1]
+    reveals = any(x in c.low for x in REVELATIONS)
+    pivots = [s for s in short if c.text[s[1] - 1] == "?" or (reveals and _REVELATION.search(body(s)))]
+    if len(pivots) >= 3:
+        yield "DRAMATIC_PIVOT_PARAGRAPHS", *reach(pivots), {"n": len(pivots)}
+    fragments = [s for s in c.paragraphs.tolist() if c.text[s[1] - 1] == "?" and s[1] - s[0] < 200 and FRAGMENT.match(body(s))]
+    if len(fragments) >= 2:
+        yield "QUESTION_FRAGMENTS", *reach(fragments), {"n": len(fragments)}
+    here = [s for s in c.sentences.tolist() if HERE.match(c.text, s[0])] if "here" in c.vocabulary else []
+    if len(here) >= 3:
+        yield "HERES_REPETITION", *reach(here), {"n": len(here)}
+    hits = [m.span() for m in _REVELATION.finditer(c.text)] if reveals else []
+    if len(hits) >= 3:
+        yield "CONTROLLED_REVELATION", *reach(hits), {"n": len(hits)}
+    endings = [(s[0] + m.start(), s[0] + m.end()) for s in c.paragraphs.tolist() if (m := ENDING.search(body(s)))] if len(c.paragraphs) >= 3 and any(x in c.low for x in ("this", "ultimately", "taken")) else []
+    if len(endings) >= 3:
+        yield "PARAGRAPH_ENDING_FORMULA", *reach(endings), {"n": len(endings)}
+    for a, b in c.sentences.tolist() if any(x in c.low for x in EXAMPLES) else []:
+        said = c.text[a:b].strip()
+        if _EXAMPLE.match(said) and not NUMBER.search(said) and not CONCRETE.search(said) and not PROPER.search(f.text[a:b]):
+            yield "GENERIC_EXAMPLE_WITHOUT_DETAIL", a, b, {"text": f.text[a:b].strip()}
+    for m in CONSENSUS.finditer(c.text) if c.vocabulary & _CLAIMANTS else ():
+        if not f.sourced(*m.span()):
+            yield "UNSUPPORTED_CONSENSUS", *m.span(), {"text": f.text[m.start() : m.end()]}
+
+
+def _habits(f: Facts) -> Iterator[Place]:
+    """Shares of sentences that open alike."""
+    c, n = f.clean, len(f.clean.sentences)
+    if n >= 8:
+        joined = [s for s in c.sentences.tolist() if CONJUNCTION.match(c.text, s[0])]
+        if len(joined) >= 3 and len(joined) / n >= 0.35:
+            yield "INITIAL_CONJUNCTIONS", *reach(joined), {"n": len(joined), "of": n}
+    if n >= 6:
+        ing = [s for s, i in zip(c.sentences.tolist(), c.sentence_first.tolist(), strict=True) if c.token(i).endswith("ing") and "," in c.text[s[0] : min(s[1], s[0] + 100)]]
+        if len(ing) >= 3 and len(ing) / n >= 0.25:
+            yield "PARTICIPIAL_OPENINGS", *reach(ing), {"n": len(ing), "of": n}
+
+
+def _density(f: Facts) -> Iterator[Place]:
+    c, words = f.clean, max(1, f.clean.word_count)
+    if c.vocabulary & _NOUNS:
+        nouns = [m.span() for m in WORD.finditer(c.text) if m[0].lower() in _NOUNS]
+        rate = len(nouns) * 100 / words
+        if len(nouns) >= 5 and rate >= 4.0:
+            yield "NOMINALIZATION_DENSITY", *nouns[0], {"n": len(nouns), "rate": rate}
+    n = c.text.count(":")
+    if n >= 4 and n * 1000 / words >= 12:
+        yield "COLON_DENSITY", c.text.find(":"), c.text.find(":") + 1, {"n": n, "rate": n * 1000 / words}
+    n = c.text.count("—")
+    if n >= 3 and n * 1000 / words >= 8:
+        yield "EM_DASH_DENSITY", c.text.find("—"), c.text.rfind("—") + 1, {"n": n, "rate": n * 1000 / words}
+
+
+def _echo(f: Facts) -> Iterator[Place]:
+    """A last long paragraph that restates the first."""
+    c = f.clean
+    long = c.paragraphs[c.paragraph_words >= 20].tolist()
+    if len(long) >= 4:
+        a, b = ({t for t in WORD.findall(c.text[s[0] : s[1]].lower()) if t not in STOPWORDS and len(t) > 2} for s in (long[0], long[-1]))
+        jaccard = len(a & b) / len(a | b) if a | b else 0.0
+        if jaccard >= 0.42 and SequenceMatcher(None, " ".join(sorted(a)), " ".join(sorted(b))).ratio() >= 0.55:
+            yield "INTRO_CONCLUSION_OVERLAP", *long[-1], {"jaccard": jaccard}
+
+
+def structural(f: Facts) -> Iterator[Place]:
+    """All rules on repetition, density and layout."""
+    for family in (_evenness, _openings, _layout, _staging, _habits, _density, _echo):
+        yield from family(f)
+
+
+def clause(part: str) -> bool:
+    """Whether a part of a sentence could stand alone: a subject first, three words, a finite verb."""
+    part = part.strip(" \t,;:()[]{}\"'“”‘’")
+    return bool(SUBJECT.match(part)) and sum(1 for _ in zip(WORD.finditer(part), range(3), strict=False)) == 3 and bool(FINITE.search(part))
+
+
+def capital(text: str) -> str:
+    """The first letter in upper case."""
+    k = next((i for i, c in enumerate(text) if c.isalpha()), len(text))
+    return text[:k] + text[k : k + 1].upper() + text[k + 1 :]
+
+
+def _kind(left: str, right: str, before: str, after: str, leads: bool) -> str:
+    """The class of a single dash: the first that fits."""
+    tests = {
+        "NUMERIC_RANGE": lambda: before.isdigit() and after.isdigit(),
+        "ATTRIBUTION": lambda: leads and SIGNATURE.match(right),
+        "INTERRUPTION": lambda: BREAKING.match(right),
+        "INDEPENDENT_CLAUSES": lambda: clause(left) and clause(right),
+        "LIST_INTRODUCTION": lambda: ("," in right or ";" in right) and LISTING.search(left, max(0, len(left) - 80)),
+        "APPOSITIONAL": lambda: EXPLAINING.search(left, max(0, len(left) - 40)) and not clause(right),
     }
-    named = lambda rule: lambda m: F.struct(F.lit(rule).alias("rule_id"), m.start.cast("int").alias("start"), m.end.cast("int").alias("end"), m.text.alias("matched"))
-    each = F.concat(*[F.transform(places, named(rule)) for rule, places in found.items()])
-    table = R.rule_table(prepared.sparkSession, [r for r in R.policy_rules() if r.rule_id in found])
-    rows = d.select(*prepared.columns, F.explode(each).alias("x")).select(*prepared.columns, "x.*").join(F.broadcast(table), "rule_id")
-    return rows.select(*prepared.columns, *[c for c in table.columns if c != "pattern"], "start", "end", "matched")
-
-
-def title_case(heading: Column) -> Column:
-    """At least three words, minor ones aside, of which 80 % start with a capital."""
-    words = F.regexp_extract_all(heading, F.lit(r"(?U)[\w’'-]+"), F.lit(0))
-    major = F.filter(words, lambda w: ~F.lower(w).rlike(f"^(?:{MINOR})$"))
-    capital = F.size(F.filter(major, lambda w: w.rlike(r"^\p{Lu}")))
-    return (F.size(words) >= 3) & (F.size(major) > 0) & (capital >= 0.8 * F.size(major))
-
-
-# Word lists of the dash classes. Only BREAKING is a fixed value; the others are this library's own approximations.
-BREAKING = r"(?:actually|well|wait|sorry|rather|no|i mean|more precisely|at least)\b"
-LISTING = r"\b(?:items|things|factors|elements|options|steps|reasons|parts|points|components|features|examples|tools|categories|questions|goals|priorities)\s*\z"
-EXPLAINING = r"\b(?:explanation|reason|answer|problem|result|point|goal|cause|truth|question|issue|is|was|are)\s*\z"
-SUBJECT = r"^\s*(?:i|you|he|she|it|we|they|this|that|these|those|there|the\s+\w+|an?\s+\w+|[A-Z]\w+)\b"
-VERB = r"\b(?:is|are|was|were|am|be|has|have|had|do|does|did|can|could|will|would|should|may|might|must|\w+(?:ed|es|s))\b"
-
-
-def clause(part: Column) -> Column:
-    """Whether a part of a sentence could stand alone: three words, a subject and a finite verb."""
-    return (T.word_count(part) >= 3) & part.rlike("(?iU)" + SUBJECT) & part.rlike("(?iU)" + VERB)
-
-
-def dashes(prepared: DataFrame) -> DataFrame:
-    """Rows (doc_id, sentence, rule_id, suggestion) for the em dashes of each sentence, a pair as one."""
-    s = prepared.select("doc_id", F.explode(T.sentences(F.col("masked"))).alias("sentence")).where(F.col("sentence").contains("—"))
-    parts = F.split("sentence", "—")
-    paired = (F.size(parts) == 3) & ~F.exists(parts, lambda p: F.trim(p) == "") & (T.word_count(F.get(parts, F.lit(1))) <= 20) & ~F.get(parts, F.lit(1)).rlike("[!?]")
-    s = s.withColumn("parts", parts).withColumn("paired", paired)
-    at = F.explode(F.when(F.col("paired"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("parts") - 2)))
-    one = s.select("doc_id", "sentence", "paired", "parts", at.alias("i"))
-    left, right = F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "—"), F.array_join(F.slice("parts", F.col("i") + 2, F.size("parts")), "—")
-    one = one.withColumn("left", left).withColumn("right", right)
-    l, r = F.col("left"), F.col("right")
-    kind = (
-        F.when(F.col("paired"), "PAIRED_PARENTHETICAL").when(l.rlike(r"\d\s*\z") & r.rlike(r"^\s*\d"), "NUMERIC_RANGE").when((F.trim(l) == "") & r.rlike(r"^\s*(?:[A-Z][\w.'’-]*\s*){1,5}\z"), "ATTRIBUTION").when(r.rlike("(?iU)^\\s*" + BREAKING), "INTERRUPTION")
-        .when(clause(l) & clause(r), "INDEPENDENT_CLAUSES").when(r.rlike("[,;]") & l.rlike("(?iU)" + LISTING), "LIST_INTRODUCTION").when(l.rlike("(?iU)" + EXPLAINING) & ~clause(r), "APPOSITIONAL").otherwise("AMBIGUOUS")
-    )
-    one = one.withColumn("kind", kind)
-    trimmed = lambda mark: F.concat(F.rtrim(l), F.lit(mark), F.ltrim(r))
-    k = F.col("kind")
-    suggestion = F.when(k == "PAIRED_PARENTHETICAL", F.array_join(F.transform("parts", F.trim), ", ")).when(k == "NUMERIC_RANGE", trimmed("–")).when(k == "INDEPENDENT_CLAUSES", trimmed("; ")).when(k.isin("LIST_INTRODUCTION", "APPOSITIONAL"), trimmed(": "))
-    return one.select("doc_id", "sentence", F.concat(F.lit("EMDASH_"), k).alias("rule_id"), suggestion.alias("suggestion"))
-
-
+    return next((kind for kind, fits in tests.items() if fits()), "AMBIGUOUS")
+
+
+def dashes(f: Facts) -> Iterator[Place]:
+    """Em dashes by class, with rewrites (``candidates``) and, where one may be made, an edit (start, end, text)."""
+    text, clean = f.text, f.clean
+    at = [m.start() for m in re.finditer("—", clean.text)]
+    if not at:
+        return
+    sentences = clean.sentences.tolist()
+    starts, ends = [a for a, _ in sentences], [b for _, b in sentences]
+    of = [k if (k := bisect_right(ends, p)) < len(starts) and starts[k] <= p else -1 for p in at]
+    held, singles = Counter(of), []
+    for i, (p, k) in enumerate(zip(at, of, strict=True)):
+        if k >= 0 and held[k] == 2:
+            q = at[i + 1] if i + 1 < len(at) and of[i + 1] == k else at[i - 1]
+            one, two = min(p, q), max(p, q)
+            before, inner, after = text[starts[k] : one], text[one + 1 : two].strip(), text[two + 1 : ends[k]]
+            if before.strip() and inner and after.strip() and not re.search("[!?]", inner) and len(WORD.findall(inner)) <= 20:
+                if p == one:
+                    rewrites = tuple((before.rstrip() + x + inner + y + after.lstrip()).strip() for x, y in ((", ", ", "), (" (", ") ")))
+                    yield "PAIRED_PARENTHETICAL", one, two + 1, {"candidates": rewrites, "edit": (one, two + 1, f", {inner}, "), "explanation": DASH_PAIR}
+                continue
+        singles.append((p, k))
+    for p, k in singles:
+        low, high = (starts[k], ends[k]) if k >= 0 else (text.rfind("\n", 0, p) + 1, text.find("\n", p) if text.find("\n", p) >= 0 else len(text))
+        left, right = text[low:p].strip(), text[p + 1 : high].strip()
+        a, b = p, p + 1
+        while a and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        line = max(text.rfind("\n", 0, p), text.rfind("\r", 0, p) if "\r" in text else -1) + 1
+        kind = _kind(left, right, text[a - 1 : a], text[b : b + 1], a <= line)
+        forms = {"INDEPENDENT_CLAUSES": (left + "; " + right, left + ". " + capital(right)), "LIST_INTRODUCTION": (left + ": " + right,), "APPOSITIONAL": (left + ": " + right, left + ". " + capital(right))}
+        more = {"candidates": forms.get(kind) or (DASH_ADVICE[kind],)}
+        if kind in DASH_EDITS:
+            first = p - (len(text[a:p]) - len(text[a:p].rstrip(" \t"))) if a < p else p
+            gap = text[p + 1 : b]
+            more["edit"] = (first, p + 1 + len(gap) - len(gap.lstrip(" \t")), DASH_EDITS[kind][0])
+        yield kind, p, p + 1, more
+
+
+def title_case(title: str) -> bool:
+    """At least three words that count, minor ones but the first aside, of which 80 % start with a capital."""
+    words = [w for w in WORD.findall(re.sub(r"[*_`]+", "", title)) if any(c.isalpha() for c in w)]
+    major = [w for i, w in enumerate(words) if not i or w.casefold() not in MINOR]
+    return len(major) >= 3 and sum(w[0].isupper() for w in major) >= 0.8 * len(major)
+
+
+def procedural(f: Facts, way: str) -> Iterator[Place]:
+    """The graded layer's procedural rules; spans of that way are left out where a rule minds them."""
+    text, clean = f.text, f.clean
+    free = lambda found: [m for m in found if f.spans.at(*m.span(), way) is None]
+    shown = lambda m: text[m.start() : m.end()]
+    for m in free(re.finditer("—", text)):
+        yield "VD_EM_DASH", *m.span(), {"shown": "—"}
+    for (a, b), n in zip(clean.paragraphs.tolist(), clean.paragraph_sentences.tolist(), strict=True):
+        if n > 3:
+            yield "VD_LONG_PARAGRAPH", a, b, {"shown": f"{n} sentences"}
+    if f.format == "markdown":
+        headings = list(HEADING.finditer(text)) if "#" in text else []
+        for m in headings:
+            if f.spans.at(*m.span("title"), way) is None and title_case(m["title"]):
+                yield "VD_TITLE_CASE_HEADING", *m.span("title"), {"shown": m["title"]}
+        bounds = [0, *(m.start() for m in headings), len(text)]
+        for low, high in zip(bounds, bounds[1:]) if "**" in text else ():
+            bold = free(BOLD.finditer(text, low, high))
+            if len(bold) > 2:
+                yield "VD_BOLD_DENSITY", bold[2].start(), bold[-1].end(), {"shown": f"{len(bold)} bold spans"}
+    if clean.vocabulary & NUMBER_WORDS.keys():
+        for m in NUMBER_WORD.finditer(clean.text):
+            around = clean.text[max(0, m.start() - 20) : m.end() + 25].lower()
+            if not PAIRING.search(around[:20]) and "one or " not in around:
+                yield "VD_NUMBER_WORD", *m.span(), {"shown": shown(m), "x": NUMBER_WORDS[m[0].lower()]}
+    for m in free(_FORM.finditer(clean.text)) if any(x in clean.low for x in UNCONTRACTED) else ():
+        yield "VD_UNCONTRACTED_FORM", *m.span(), {"shown": shown(m), "x": UNCONTRACTED[m[0].lower()]}
+    if clean.vocabulary & {"and", "or"} and _LISTED.search(clean.text):
+        for m in free(TRIAD.finditer(clean.text)):
+            if all(len(WORD.findall(m[g])) <= 8 for g in "abc"):
+                yield "VD_RULE_OF_THREE", *m.span(), {"shown": shown(m)}
+    words = clean.word_count
+    if words >= 180:
+        digits = _DIGIT.search(text) is not None
+        concrete = len(PROPER.findall(text)) + (len(NUMBER.findall(clean.text)) if digits else 0)
+        concrete += (len(QUOTE.findall(text)) if '"' in text or "“" in text else 0) + (len(DATED.findall(text)) if digits or f.vocabulary & _MONTHS else 0)
+        if concrete <= max(2, words // 180):
+            yield "VD_LOW_SPECIFICITY", 0, min(len(text), 1), {"shown": f"{concrete} concrete markers across {words} words"}
+        if not clean.vocabulary & _ADDRESSED:
+            yield "VD_NO_DIRECT_ADDRESS", 0, min(len(text), 1), {"shown": "no direct-address pronouns"}

@@ -1,7 +1,8 @@
 """The library's own queries over the corpus tables, and their SQL.
 
-``conversations`` and ``documents`` are invented prose in which few phrases of the rules occur, so queries on phrases
-run over ``documents`` with one rule's phrase put after each text, chosen by the id; the SQL does the same.
+``documents`` is invented prose in which few phrases of the rules occur, so the queries on phrases run over it with one
+rule's phrase put after each text, chosen by the id; the SQL does the same, and makes its patterns from the phrases by
+itself. The queries named ``_whole`` run every rule over the documents' own texts in their detected formats.
 """
 
 from __future__ import annotations
@@ -13,26 +14,37 @@ from pyspark.sql import functions as F
 
 from textloom.functions import registry as R
 from textloom.functions import text as T
+from textloom.functions.facts import Facts
 from textloom.operators import audit, structure
-
+from textloom.plans import fixtures
+from textloom.sources.configs import PolicyConfig, StyleConfig
+
+#: Scored families whose phrases count wherever they stand, and those of the graded layer.
+STYLE_FAMILIES = [spec for spec in R.FAMILIES if spec[0] not in ("DISC", "PART", "SOURCE", "AUD", "EX")]
+POLICY_FAMILIES = [spec for spec in R.VD_FAMILIES if spec[0] != "VD_WORD_VARIANT"]
+#: Of the scored phrases two count at the start of a sentence only.
+OPENERS = ("Certainly", "Absolutely")
+_first = lambda e: e if isinstance(e, str) else e[0]
 #: Phrases that are put after documents, fixed by the registry.
-PHRASES = [*R.VD_PHRASE, *R.CORP, *R.HOLLOW, *R.IMP, *R.VD_WORD[:40], *(p for p, _ in R.META)]
-LITERALS = [p.replace("'", "''") for p in PHRASES]
+PHRASES = [p for spec in (*POLICY_FAMILIES, *STYLE_FAMILIES) for p in map(_first, spec[2]) if p not in OPENERS]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "text")
+
+
 def _phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): each document with the phrase of its id's turn after it, three times for every fifth."""
-    d = _docs(spark, sf_dir)
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
     said = F.concat(F.lit("\n\nWe note: "), phrase, F.lit(" and so on."))
-    return d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.repeat(said, F.when(F.col("doc_id") % 5 == 0, 3).otherwise(1))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.repeat(said, F.when(F.col("doc_id") % 5 == 0, 3).otherwise(1))).alias("text"))
 
 
-_PHRASED = "SELECT doc_id, coalesce(text, '') || repeat(chr(10) || chr(10) || 'We note: ' || ([" + ", ".join(f"'{p}'" for p in LITERALS) + f"])[(doc_id % {len(PHRASES)}) + 1] || ' and so on.', CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END) AS text FROM documents"
+_PHRASED = "SELECT doc_id, coalesce(text, '') || repeat(chr(10) || chr(10) || 'We note: ' || ([" + ", ".join(fixtures.literal(p) for p in PHRASES) + f"])[(doc_id % {len(PHRASES)}) + 1] || ' and so on.', CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END) AS text FROM documents"
 
 _W = r"[\p{L}\p{M}\p{N}_][\p{L}\p{M}\p{N}_’''-]*"
 _PARA = r"'(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)'"
@@ -53,13 +65,13 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("sentences"))
+    return audit.segments(_texts(spark, sf_dir)).select("doc_id", F.size("segments.sentences").cast("long").alias("sentences"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: documents, those with a paragraph of over three sentences, words and sentences."""
-    t = F.coalesce("text", F.lit(""))
-    d = _docs(spark, sf_dir).select("lang", T.word_count(t).alias("w"), F.size(T.sentences(t)).alias("s"), F.exists(T.paragraphs(t), lambda p: F.size(T.sentences(p)) > 3).alias("long"))
+    d = audit.segments(_docs(spark, sf_dir).select("lang", "text"))
+    d = d.select("lang", F.col("segments.words").alias("w"), F.size("segments.sentences").alias("s"), F.exists("segments.paragraphs", lambda p: p.sentences > 3).alias("long"))
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("long").alias("long_docs"), F.sum("w").cast("long").alias("words"), F.sum("s").cast("long").alias("sentences"))
 
 
@@ -69,13 +81,13 @@ def address_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = audit.texture(_docs(spark, sf_dir))
-    return out.select("doc_id", F.col("sentences").cast("long").alias("sentences"), F.col("sentence_word_min").cast("long").alias("sentence_word_min"), F.col("sentence_word_max").cast("long").alias("sentence_word_max"), F.col("direct_address_count").cast("long").alias("direct_address"), F.col("parenthetical_count").cast("long").alias("parentheticals"))
+    out = audit.texture(_texts(spark, sf_dir), ["doc_id"])
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    return out.select("doc_id", long("sentences", "sentences"), long("sentence_word_min", "sentence_word_min"), long("sentence_word_max", "sentence_word_max"), "sentence_word_mean", "sentence_length_cv", F.array_join("paragraph_sentence_counts", ",").alias("paragraph_sentences"), long("direct_address_count", "direct_address"), long("parenthetical_count", "parentheticals"))
 
 
 def repeated_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("masked"))
-    return structure.repeated_openings(d)
+    return audit.openings(_texts(spark, sf_dir), ["doc_id"])
 
 
 def repeated_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,46 +95,55 @@ def repeated_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def false_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts("ranges", spark, sf_dir, dict((r, p) for r, _, p in R.VD_STRONG)["VD_FALSE_RANGE"])
+    return _counts("ranges", spark, sf_dir, R.by_id()["VD_FALSE_RANGE"].pattern)
 
 
 def uncontracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts("forms", spark, sf_dir, r"(?<!\w)(?:" + "|".join(sorted(structure.UNCONTRACTED, key=len, reverse=True)) + r")(?!\w)")
 
 
+def _only(audited: DataFrame, ids: list[str]) -> DataFrame:
+    """``audited`` with the findings of these rules left."""
+    return audited.withColumn("audit", F.col("audit").withField("findings", F.filter("audit.findings", lambda x: x.rule_id.isin(*ids))))
+
+
+def _ids(families: list) -> list[str]:
+    return [r.rule_id for r in R.rules() if r.pattern and "VARIANT" not in r.rule_id and any(r.rule_id.startswith(spec[0] + "_") and r.rule_id[len(spec[0]) + 1].isdigit() for spec in families)]
+
+
 def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = [r for r in R.policy_rules() if r.rule_id.startswith(("VD_WORD_", "VD_PHRASE")) and "VARIANT" not in r.rule_id]
-    return audit.policy_findings(audit.prepare(_phrased(spark, sf_dir), fmt="plain"), chosen)
+    return _only(audit.policy_audit(_phrased(spark, sf_dir), PolicyConfig(format="plain")), _ids(POLICY_FAMILIES))
 
 
 def _style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = [r for r in R.style_rules() if r.rule_id.startswith(("CORP", "HOLLOW", "META", "IMP"))]
-    return audit.style_findings(audit.prepare(_phrased(spark, sf_dir), fmt="plain"), chosen)
+    return _only(audit.style_audit(_phrased(spark, sf_dir), StyleConfig(format="plain")), _ids(STYLE_FAMILIES))
+
+
+def _by_rule(audited: DataFrame) -> DataFrame:
+    """Findings and documents per rule, counted in each row before the shuffle."""
+    each = audited.select(F.explode(F.filter(audit.column_of(audited) + ".findings", lambda x: x.nth == 1).rule_id).alias("rule_id"), F.col(audit.column_of(audited) + ".findings").alias("f"))
+    return each.groupBy("rule_id").agg(F.sum(F.size(F.filter("f", lambda x: x.rule_id == F.col("rule_id")))).cast("long").alias("n"), F.count("*").alias("docs"))
 
 
 def policy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and matches per policy rule."""
-    return _policy(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return _by_rule(_policy(spark, sf_dir))
 
 
 def style_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _style(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return _by_rule(_style(spark, sf_dir))
 
 
 def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = audit.gate(_docs(spark, sf_dir), _policy(spark, sf_dir))
-    return out.select("doc_id", F.col("finding_count").cast("long").alias("finding_count"), F.col("failure_count").cast("long").alias("failure_count"), "status")
+    return audit.gate(_policy(spark, sf_dir), ["doc_id"])
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.counters(_style(spark, sf_dir)).where("key = 'category'")
-    return found.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return audit.corpus_counts(_style(spark, sf_dir), "category")
 
 
 def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _phrased(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("words"))
-    out = audit.dimension_scores(docs, audit.deduplicate(_style(spark, sf_dir)))
-    return out.select("doc_id", "dimension", F.round("score", 6).alias("score"), "finding_count", "band")
+    return audit.scores(_style(spark, sf_dir), ["doc_id"]).where("finding_count > 0")
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,131 +151,139 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("layer", "category").agg(F.count("*").alias("rules"), F.count_if(F.col("pattern").isNull()).alias("procedural"))
 
 
-def exact_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.deduplicate(_style(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"))
+def _fixture(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "case_id long, text string")
 
 
-def cross_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = audit.across_layers(_policy(spark, sf_dir), _style(spark, sf_dir))
-    return left.groupBy("rule_id").agg(F.count("*").alias("n"))
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one stream of both layers over the fixture corpus."""
+    out = audit.exploded(audit.policy_audit(_fixture(spark, [t for t, _ in fixtures.FINDINGS])), ["case_id"])
+    return out.select("case_id", "rule_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def _policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pattern rule of the graded layer over the documents' own texts, in their detected formats."""
-    return audit.policy_findings(audit.prepare(_docs(spark, sf_dir).select("doc_id", "text")))
+def auto_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture corpus in auto mode."""
+    out = audit.style_audit(_fixture(spark, [t for t, _ in fixtures.EDITS]), StyleConfig(mode="auto", em_dash_policy="eliminate", max_auto_risk="medium"))
+    return out.select("case_id", "audit.refined")
 
 
-def _graded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graded layer with its procedural rules."""
-    prepared = audit.prepare(_docs(spark, sf_dir).select("doc_id", "text"))
-    return audit.policy_findings(prepared).unionByName(structure.procedural_findings(prepared))
+def _policy_whole(spark: SparkSession, sf_dir: str, mode: str = "audit") -> DataFrame:
+    return audit.policy_audit(_texts(spark, sf_dir), PolicyConfig(mode=mode))
 
 
 def _style_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.style_findings(audit.prepare(_docs(spark, sf_dir).select("doc_id", "text")))
+    return audit.style_audit(_texts(spark, sf_dir))
 
 
 def policy_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _policy_whole(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return _by_rule(_policy_whole(spark, sf_dir))
 
 
 def style_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _style_whole(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return _by_rule(_style_whole(spark, sf_dir))
 
 
 def policy_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.gate(_docs(spark, sf_dir), _graded_whole(spark, sf_dir))
+    return audit.gate(_policy_whole(spark, sf_dir), ["doc_id"])
 
 
 def category_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.counters(_style_whole(spark, sf_dir)).where("key = 'category'")
-    return found.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return audit.corpus_counts(_style_whole(spark, sf_dir), "category")
 
 
 def dimension_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).alias("words"))
-    out = audit.dimension_scores(docs, audit.deduplicate(_style_whole(spark, sf_dir)))
-    return out.select("doc_id", "dimension", F.round("score", 6).alias("score"), "finding_count", "band")
+    return audit.scores(_style_whole(spark, sf_dir), ["doc_id"])
 
 
-def exact_span_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.deduplicate(_style_whole(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"))
+def base_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.metrics(_style_whole(spark, sf_dir), ["doc_id"])
 
 
 def cross_layer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = audit.across_layers(_graded_whole(spark, sf_dir), _style_whole(spark, sf_dir))
-    return left.groupBy("rule_id").agg(F.count("*").alias("n"))
+    """What is left of the scored layer's findings in the merged stream, by rule."""
+    return _by_rule(_policy_whole(spark, sf_dir)).join(F.broadcast(R.rule_table(spark).where(F.col("layer") == R.STYLE).select("rule_id")), "rule_id")
 
 
-def procedural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per procedural policy rule."""
-    return structure.procedural(audit.prepare(_docs(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("docs"))
+def auto_edits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both layers' edits over the documents' own texts."""
+    out = _policy_whole(spark, sf_dir, "auto")
+    return out.select("doc_id", "audit.format", F.length("audit.refined").cast("long").alias("chars"), F.md5("audit.refined").alias("refined_md5"), F.size("audit.edits").cast("long").alias("edit_count"), "audit.idempotent")
 
 
-def structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.structural(audit.prepare(_docs(spark, sf_dir))).groupBy("rule_id").agg(F.count("*").alias("docs"))
+def _docs_per_rule(audited: DataFrame, prefix: str) -> DataFrame:
+    rules = F.array_distinct(F.filter("audit.findings.rule_id", lambda x: x.startswith(prefix)))
+    return audited.select(F.explode(rules).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("docs"))
 
 
-def intro_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.intro_conclusion(audit.prepare(_docs(spark, sf_dir)))
+def procedural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per procedural rule of the graded layer."""
+    return _by_rule(_policy_whole(spark, sf_dir)).where(F.col("rule_id").isin(*[r.rule_id for r in R.policy_rules() if r.pattern is None]))
+
+
+def structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per structure rule: ``documents`` cut into paragraphs of a sentence, where such rules can fire."""
+    d = _texts(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"(?<=[.!?]) ", "\n\n").alias("text"))
+    return _docs_per_rule(audit.style_audit(d), "STRUCT_")
 
 
 def dash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nThe study ran from 2019—2024. The trial—which lasted six weeks—ended well.")).alias("text"))
-    return structure.dashes(audit.prepare(d, fmt="plain")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return _docs_per_rule(audit.style_audit(d, StyleConfig(format="plain")), "EMDASH_").withColumnRenamed("docs", "n")
 
 
 def safe_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("It is important to note that we stop!! In order to test it, they may potentially go.\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z .\n]", "")).alias("text"))
-    out = audit.safe_edits(audit.prepare(d, fmt="plain"))
-    return out.select("doc_id", F.length("refined").cast("long").alias("chars"), F.md5("refined").alias("refined_md5"))
+    """Edits of the scored layer, after a sentence that has some, in texts reduced to what SQL can follow; the documents'
+    own texts are ``safe_edits_whole``."""
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("It is important to note that we stop!! They may potentially go.\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z .\n]", "")).alias("text"))
+    out = audit.style_audit(d, StyleConfig(mode="auto", format="plain"))
+    return out.select("doc_id", F.length("audit.refined").cast("long").alias("chars"), F.md5("audit.refined").alias("refined_md5"))
 
 
 def safe_edits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' own texts, nothing taken out, each in its detected format."""
-    out = audit.safe_edits(audit.prepare(_docs(spark, sf_dir)))
-    return out.select("doc_id", "format", F.length("refined").cast("long").alias("chars"), F.md5("refined").alias("refined_md5"), F.col("edit_count").cast("long").alias("edit_count"))
+    out = audit.style_audit(_texts(spark, sf_dir), StyleConfig(mode="auto"))
+    return out.select("doc_id", "audit.format", F.length("audit.refined").cast("long").alias("chars"), F.md5("audit.refined").alias("refined_md5"), F.size("audit.edits").cast("long").alias("edit_count"))
 
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
-    return d.groupBy(T.detect_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
+    """Formats of pages, and of documents as they are, as a heading, and as TeX."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.coalesce("html", F.lit("")).alias("text"))
+    t = F.coalesce("text", F.lit(""))
+    docs = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("# A\n"), t)).when(F.col("doc_id") % 3 == 2, F.concat(F.lit("\\section{A} "), t)).otherwise(t).alias("text"))
+    return pages.unionAll(docs).groupBy(T.detect_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
 
 
 def protected_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their protected spans: how many, and the share of edit-protected characters."""
     d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    p = audit.prepare(d, fmt="html")
-    size = F.aggregate("spans", F.lit(0), lambda s, x: s + F.when(x.xe, x.end - x.start).otherwise(0))
-    return p.select("doc_id", F.size("spans").cast("long").alias("spans"), F.round(size / F.greatest(F.lit(1), F.length("text")), 4).alias("share"), F.length("masked").cast("long").alias("chars"))
+    p = audit.protected(d, fmt="html")
+    size = F.aggregate("protected.spans", F.lit(0), lambda s, x: s + F.when(x.edit, x.end - x.start).otherwise(0))
+    return p.select("doc_id", F.size("protected.spans").cast("long").alias("spans"), F.round(size / F.greatest(F.lit(1), F.length(F.coalesce("text", F.lit("")))), 4).alias("share"), F.length("protected.masked").cast("long").alias("chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "long_paragraphs_by_language": flagship, "word_counts": word_counts, "sentence_counts": sentence_counts, "address_counts": address_counts, "texture": texture, "repeated_openings": repeated_openings, "repeated_marks": repeated_marks,
     "false_ranges": false_ranges, "uncontracted_forms": uncontracted, "policy_scan": policy_scan, "style_scan": style_scan, "policy_gate": policy_gate, "category_counts": category_counts, "dimension_scores": dimension_scores, "rule_catalogue": catalogue,
-    "exact_span_dedup": exact_span_dedup, "cross_layer_dedup": cross_layer, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "intro_conclusion": intro_conclusion, "dash_classes": dash_classes, "safe_edits": safe_edits, "safe_edits_whole": safe_edits_whole,
-    "policy_scan_whole": policy_scan_whole, "style_scan_whole": style_scan_whole, "policy_gate_whole": policy_gate_whole, "category_counts_whole": category_counts_whole, "dimension_scores_whole": dimension_scores_whole, "exact_span_dedup_whole": exact_span_dedup_whole, "cross_layer_dedup_whole": cross_layer_whole,
+    "all_findings": all_findings, "auto_edits": auto_edits, "procedural_rules": procedural_rules, "structural_rules": structural_rules, "dash_classes": dash_classes, "safe_edits": safe_edits, "safe_edits_whole": safe_edits_whole, "auto_edits_whole": auto_edits_whole,
+    "policy_scan_whole": policy_scan_whole, "style_scan_whole": style_scan_whole, "policy_gate_whole": policy_gate_whole, "category_counts_whole": category_counts_whole, "dimension_scores_whole": dimension_scores_whole, "base_metrics_whole": base_metrics_whole, "cross_layer_dedup_whole": cross_layer_whole,
     "formats": formats, "protected_spans": protected_share,
 }
 
-_B = "(^|[^\\p{L}\\p{M}\\p{N}_])"
-
 
-def _rule_values(prefixes: tuple[str, ...]) -> str:
-    """Rules of literal phrases as VALUES (rule_id, category, weight, RE2 pattern)."""
-    rows = []
-    for r in R.rules():
-        if r.rule_id.startswith(prefixes) and "VARIANT" not in r.rule_id and r.pattern:
-            body = r.pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b").replace("'", "''")
-            rows.append(f"('{r.rule_id}', '{r.category}', {r.weight}::DOUBLE, '(?i){body}')")
-    return "(VALUES " + ", ".join(rows) + ") r(rule_id, category, weight, pattern)"
+def _rule_values(families: list) -> str:
+    """Rules as VALUES (rule_id, category, weight, least, phrase), and patterns made of the phrases in SQL."""
+    chosen = [r for r in R.rules() if r.rule_id in set(_ids(families)) and not r.rule_id.startswith(("ASST_009", "ASST_010"))]
+    phrase = {f"{spec[0]}_{i:03d}": _first(e) for spec in families for i, e in enumerate(spec[2], 1)}
+    rows = ", ".join(f"('{r.rule_id}', '{r.category}', {r.weight}::DOUBLE, {r.min_occurrences}, {fixtures.literal(next(p for k, p in phrase.items() if r.rule_id.startswith(k + '_')))}, {'true' if r.layer == R.STYLE else 'false'})" for r in chosen)
+    pattern = "'(?i)\\b' || replace(replace(phrase, ' ', '\\s+'), '''', CASE WHEN curly THEN '[''’]' ELSE '''' END) || '\\b'"
+    return f"(SELECT rule_id, category, weight, least, {pattern} AS pattern FROM (VALUES {rows}) v(rule_id, category, weight, least, phrase, curly))"
 
 
-def _matches(prefixes: tuple[str, ...]) -> str:
-    return f"p AS ({_PHRASED}), hits AS (SELECT doc_id, rule_id, category, weight, len(regexp_extract_all(text, pattern)) AS n FROM p, {_rule_values(prefixes)} WHERE regexp_matches(text, pattern))"
+def _matches(families: list) -> str:
+    """Of a phrase that two families list, the heavier rule is reported: the intensifier gives way."""
+    return f"p AS ({_PHRASED}), hits AS (SELECT doc_id, rule_id, category, weight, len(regexp_extract_all(text, pattern)) AS n FROM p, {_rule_values(families)} r WHERE len(regexp_extract_all(text, pattern)) >= least AND rule_id != 'INT_007_notably')"
 
 
-_POLICY, _STYLE = ("VD_WORD_", "VD_PHRASE"), ("CORP", "HOLLOW", "META", "IMP")
 _BASE = "base AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)"
 
 SQL: dict[str, str] = {
@@ -265,20 +294,20 @@ SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE long) AS long_docs, sum(
     "word_counts": f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_W}'))::BIGINT AS words, length(coalesce(text, ''))::BIGINT AS chars, len(list_filter(string_split_regex(coalesce(text, ''), {_PARA}), lambda x: regexp_matches(x, '\\S')))::BIGINT AS paragraphs FROM documents",
     "sentence_counts": f"WITH {_BASE}, {_SENT} SELECT base.doc_id, count(s) AS sentences FROM base LEFT JOIN sents USING (doc_id) GROUP BY 1",
     "address_counts": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)[\p{L}\p{N}_.+-]+@(?:[\p{L}\p{N}_-]+\.)+[A-Za-z]{2,}'))::BIGINT AS emails, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(?:https?://|ftp://|www\.)[^\s<>()\[\]{}]+'))::BIGINT AS urls, len(regexp_extract_all(coalesce(text, ''), '[0-9]+'))::BIGINT AS digit_runs FROM documents",
-    "texture": f"WITH {_BASE}, {_SENT}, l AS (SELECT doc_id, len(regexp_extract_all(s, '{_W}')) AS w FROM sents), g AS (SELECT doc_id, count(*) AS n, min(w) AS a, max(w) AS b FROM l GROUP BY 1) SELECT base.doc_id, coalesce(n, 0)::BIGINT AS sentences, coalesce(a, 0)::BIGINT AS sentence_word_min, coalesce(b, 0)::BIGINT AS sentence_word_max, len(list_filter(regexp_extract_all(text, '{_W}'), lambda x: regexp_matches(lower(x), '^(i|me|my|we|our|you|your)([’''-]|$)') OR regexp_matches(lower(x), '[’''-](i|me|my|we|our|you|your)([’''-]|$)')))::BIGINT AS direct_address, len(regexp_extract_all(text, '\\([^()\\n]{{2,160}}\\)'))::BIGINT AS parentheticals FROM base LEFT JOIN g USING (doc_id)",
+    "texture": f"WITH {_BASE}, {_SENT}, l AS (SELECT doc_id, len(regexp_extract_all(s, '{_W}')) AS w FROM sents), g AS (SELECT doc_id, count(*) AS n, min(w) AS a, max(w) AS b, printf('%.2f', avg(w))::DOUBLE AS m, printf('%.3f', stddev_pop(w) / avg(w))::DOUBLE AS cv FROM l GROUP BY 1), paras AS (SELECT doc_id AS d, i, text FROM (SELECT doc_id, unnest(string_split_regex(text, {_PARA})) AS text, generate_subscripts(string_split_regex(text, {_PARA}), 1) AS i FROM base)), pb AS (SELECT row_number() OVER () AS k, * FROM paras), px AS (SELECT k, d, i, unnest(string_split_regex(regexp_replace(regexp_replace(text, '(^|[^A-Za-z.])((?i:mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\\.g|i\\.e|fig|eq)|[A-Za-z])\\.', '\\1\\2', 'g'), '([.!?][\"''”’)\\]}}]*)(\\s+|$)', '\\1' || chr(1), 'g'), chr(1))) AS s FROM pb), pn AS (SELECT k, d, i, count(*) AS n FROM px WHERE regexp_matches(s, '[\\p{{L}}\\p{{M}}\\p{{N}}_]') GROUP BY ALL), pc AS (SELECT d AS doc_id, string_agg(n::VARCHAR, ',' ORDER BY i) AS ps FROM pn GROUP BY d) SELECT base.doc_id, coalesce(n, 0)::BIGINT AS sentences, coalesce(a, 0)::BIGINT AS sentence_word_min, coalesce(b, 0)::BIGINT AS sentence_word_max, coalesce(m, 0) AS sentence_word_mean, coalesce(cv, 0) AS sentence_length_cv, coalesce(ps, '') AS paragraph_sentences, len(list_filter(regexp_extract_all(text, '{_W}'), lambda x: regexp_matches(lower(x), '^(i|me|my|we|our|you|your)([’''-]|$)') OR regexp_matches(lower(x), '[’''-](i|me|my|we|our|you|your)([’''-]|$)')))::BIGINT AS direct_address, len(regexp_extract_all(text, '\\([^()\\n]{{2,160}}\\)'))::BIGINT AS parentheticals FROM base LEFT JOIN g USING (doc_id) LEFT JOIN pc USING (doc_id)",
     "repeated_openings": f"WITH {_BASE}, {_SENT}, h AS (SELECT doc_id, list_slice(regexp_extract_all(lower(s), '{_W}'), 1, 2) AS h FROM sents) SELECT doc_id, array_to_string(h, ' ') AS opening, count(*) AS n FROM h WHERE len(h) = 2 GROUP BY ALL HAVING count(*) >= 3",
     "repeated_marks": "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '!{2,}'))::BIGINT AS runs FROM documents",
     "false_ranges": r"SELECT doc_id, len(regexp_extract_all(' ' || coalesce(text, ''), '(?i)[^\p{L}\p{M}\p{N}_]from\s+[^,.!?\n]{2,70}\s+to\s+[^,.!?\n]{2,70}'))::BIGINT AS ranges FROM documents",
     "uncontracted_forms": r"SELECT doc_id, len(regexp_extract_all(regexp_replace(' ' || coalesce(text, '') || ' ', '([^\p{L}\p{M}\p{N}_])', '\1\1', 'g'), '(?i)[^\p{L}\p{M}\p{N}_](?:" + "|".join(x.replace(" ", "  ") for x in sorted(structure.UNCONTRACTED, key=len, reverse=True)) + r")[^\p{L}\p{M}\p{N}_]'))::BIGINT AS forms FROM documents",
-    "policy_scan": f"WITH {_matches(_POLICY)} SELECT rule_id, sum(n)::BIGINT AS n, count(*) AS docs FROM hits GROUP BY 1",
-    "style_scan": f"WITH {_matches(_STYLE)} SELECT rule_id, sum(n)::BIGINT AS n, count(*) AS docs FROM hits GROUP BY 1",
-    "policy_gate": f"WITH {_matches(_POLICY)}, g AS (SELECT doc_id, sum(n) AS n FROM hits GROUP BY 1) SELECT d.doc_id, coalesce(n, 0)::BIGINT AS finding_count, coalesce(n, 0)::BIGINT AS failure_count, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM documents d LEFT JOIN g USING (doc_id)",
-    "category_counts": f"WITH {_matches(_STYLE)} SELECT category AS value, sum(n)::BIGINT AS n, count(DISTINCT doc_id) AS docs FROM hits GROUP BY 1",
-    "dimension_scores": f"WITH {_matches(_STYLE)}, b(dimension, category) AS (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in R.DIMENSIONS.items() for c in cs) + f"), w AS (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) AS words FROM p), s AS (SELECT doc_id, dimension, sum(weight * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 1.75 ELSE 2.25 + 0.25 * (n - 3) END) AS raw, sum(n)::BIGINT AS finding_count FROM hits JOIN b USING (category) GROUP BY ALL), t AS (SELECT doc_id, dimension, raw * 1000 / greatest(250, words) AS score, finding_count FROM s JOIN w USING (doc_id)) SELECT doc_id, dimension, round(score, 6) AS score, finding_count, CASE WHEN score < 5 THEN 'low' WHEN score < 12 THEN 'moderate' WHEN score < 25 THEN 'high' ELSE 'very_high' END AS band FROM t",
+    "policy_scan": f"WITH {_matches(POLICY_FAMILIES)} SELECT rule_id, sum(n)::BIGINT AS n, count(*) AS docs FROM hits GROUP BY 1",
+    "style_scan": f"WITH {_matches(STYLE_FAMILIES)} SELECT rule_id, sum(n)::BIGINT AS n, count(*) AS docs FROM hits GROUP BY 1",
+    "policy_gate": f"WITH {_matches(POLICY_FAMILIES)}, g AS (SELECT doc_id, sum(n) AS n FROM hits GROUP BY 1) SELECT d.doc_id, coalesce(n, 0)::BIGINT AS finding_count, coalesce(n, 0)::BIGINT AS failure_count, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM documents d LEFT JOIN g USING (doc_id)",
+    "category_counts": f"WITH {_matches(STYLE_FAMILIES)} SELECT category, sum(n)::BIGINT AS n, count(DISTINCT doc_id) AS docs FROM hits GROUP BY 1",
+    "dimension_scores": f"WITH {_matches(STYLE_FAMILIES)}, b(dimension, category) AS (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in R.DIMENSIONS.items() for c in cs) + f"), every AS (SELECT * FROM b UNION ALL SELECT DISTINCT 'marker_density', category FROM hits), w AS (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) AS words FROM p), s AS (SELECT doc_id, dimension, sum(weight * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 1.75 ELSE 2.25 + 0.25 * (n - 3) END) AS raw, sum(n)::BIGINT AS finding_count FROM hits JOIN every USING (category) GROUP BY ALL), t AS (SELECT doc_id, dimension, printf('%.2f', raw * 1000 / greatest(250, words))::DOUBLE AS score, finding_count FROM s JOIN w USING (doc_id)) SELECT doc_id, dimension, score, CASE WHEN score < 5 THEN 'low' WHEN score < 12 THEN 'moderate' WHEN score < 25 THEN 'high' ELSE 'very_high' END AS band, finding_count FROM t",
     "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{layer}', '{c}', {sum(r.layer == layer and r.category == c for r in R.rules())}::BIGINT, {sum(r.layer == layer and r.category == c and r.pattern is None for r in R.rules())}::BIGINT)" for layer, c in dict.fromkeys((r.layer, r.category) for r in R.rules())) + ") t(layer, category, rules, procedural)",
-    "exact_span_dedup": f"WITH {_matches(_STYLE)} SELECT rule_id, sum(n)::BIGINT AS n FROM hits GROUP BY 1",
+    "all_findings": fixtures.findings_sql(),
+    "auto_edits": fixtures.edits_sql(),
     "dash_classes": "SELECT 'EMDASH_NUMERIC_RANGE' AS rule_id, count(*) AS n FROM documents UNION ALL SELECT 'EMDASH_PAIRED_PARENTHETICAL', count(*) FROM documents",
-    "safe_edits": r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z .\n]', '', 'g') AS c FROM documents) SELECT doc_id, (70 - 16 + length(c))::BIGINT AS chars, md5('We stop! To test it, they may go.' || chr(10) || chr(10) || c) AS refined_md5 FROM t",
-    "formats": r"SELECT CASE WHEN regexp_matches(h, '(?m)^\s{0,3}(?:#{1,6}\s|[-*+]\s|```|~~~)') OR regexp_matches(h, '`[^`\r\n]+`|\[[^\]\r\n]+\]\([^\r\n)]+\)') THEN 'markdown' WHEN regexp_matches(h, '(?is)<(?:html|body|article|section|p|pre|code)\b') THEN 'html' WHEN regexp_matches(h, '\\(?:begin|section|chapter|documentclass)\b') THEN 'latex' ELSE 'plain' END AS format, count(*) AS n FROM (SELECT coalesce(html, '') AS h FROM pages) GROUP BY 1",
+    "safe_edits": r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z .\n]', '', 'g') AS c FROM documents) SELECT doc_id, (23 + length(c))::BIGINT AS chars, md5('We stop! They may go.' || chr(10) || chr(10) || c) AS refined_md5 FROM t",
+    "formats": r"SELECT CASE WHEN regexp_matches(h, '(?m)^\s{0,3}(?:#{1,6}\s|[-*+]\s|```|~~~)') OR regexp_matches(h, '`[^`\r\n]+`|\[[^\]\r\n]+\]\([^\r\n)]+\)') THEN 'markdown' WHEN regexp_matches(h, '(?is)<(?:html|body|article|section|p|pre|code)\b') THEN 'html' WHEN regexp_matches(h, '\\(?:begin|section|chapter|documentclass)\b') THEN 'latex' ELSE 'plain' END AS format, count(*) AS n FROM (SELECT coalesce(html, '') AS h FROM pages UNION ALL SELECT CASE doc_id % 3 WHEN 1 THEN '# A' || chr(10) WHEN 2 THEN '\section{A} ' ELSE '' END || coalesce(text, '') FROM documents) GROUP BY 1",
 }
-SQL["safe_edits"] = SQL["safe_edits"].replace("(70 - 16 + length(c))", "(35 + length(c))")

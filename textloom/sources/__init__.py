@@ -1 +1 @@
-
+"""Text files, profile and policy files."""
