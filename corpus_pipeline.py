@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, line_dedup, near_dup, quality
-from textloom.llm.common import cut
+from textloom.llm.common import cut, row_count_up_to
 from textloom.llm.queries import vocabulary
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (distinct, column ``keep_id``), and those without an id."""
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return joined.select(docs.columns)
+#: Contaminated texts without an id up to which their keys are broadcast.
+BAD_TEXTS = 100_000
+
+
+def _key(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` has."""
+    return "_".join(["key", *docs.columns])
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but those whose doc_id is in ``ids`` (one column, never null)."""
+    key = _key(docs)
+    return docs.join(ids.toDF(key), F.col("doc_id") == F.col(key), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +40,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more): the one with the smallest id."""
+    """One document of each group of near duplicates (similarity 0.8 or more): the one with the smallest id.
+
+    Rows that repeat an id with its text are one document, of which one row stays; rows without an id are in no group.
+    """
     found = near_dup.near_duplicates(docs.select("doc_id", "text"), percent=80)
-    return _only(docs, found.where("kept").select(F.col("doc_id").alias("keep_id")).distinct())
+    left = _without(docs, found.where("not kept and doc_id is not null").select("doc_id").distinct())
+    repeated = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    key = _key(docs)
+    again = left.join(repeated.toDF(key), F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(left, repeated).unionByName(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontam.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_anti").select(docs.columns)
+    """Documents without a benchmark passage. Rows without an id are looked at one by one, each by its own text."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.contamination(docs.select("doc_id", "text"), benchmark)
+    kept = _without(docs, found.where("contaminated and doc_id is not null").select("doc_id").distinct())
+    nameless = docs.where("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    key = _key(docs)
+    bad = decontam.contamination(nameless, benchmark).where("contaminated").select("doc_id").distinct().toDF(key)
+    bad = F.broadcast(bad) if row_count_up_to(bad, BAD_TEXTS) <= BAD_TEXTS else bad
+    return kept.join(bad, F.col("doc_id").isNull() & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
