@@ -3,7 +3,9 @@
 A turn is rendered as ``### role: text</turn>``, turns are joined by line feeds. The parser cuts at ``</turn>``, drops
 the line feed that joins, and reads the role up to the first ``: ``. Each turn is rendered as it is, parsed again and
 compared with its source; one that doesn't come back identical is rendered escaped instead, as ``#\\# role: text</turn>``,
-with ``\\`` as ``\\\\``, ``<`` as ``\\l`` and, in the role, ``:`` as ``\\c``. Then no ``</turn>`` and no ``: `` is left in it.
+with ``\\`` as ``\\\\``, ``<`` as ``\\l``, ``#`` as ``\\h`` and, in the role, ``:`` as ``\\c``. Then no turn mark is left in it. A turn
+that holds ``###`` anywhere is escaped as well, though the parser would read it right: to a model, such a text would
+look like a turn.
 The whole conversation is parsed and compared again; if any turn differs, all its turns are escaped.
 
 The loss mask is an array of (start, length, escaped) in code points of the formatted text, one entry per assistant
@@ -21,16 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-END, LOSS_ROLE = "</turn>", "assistant"
+MARK, END, LOSS_ROLE = "###", "</turn>", "assistant"
 
 
 def _escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l")), F.lit("#"), F.lit("\\h"))
 
 
 def _unescape(text: Column) -> Column:
     """Between escaped backslashes no escape is cut in two, so the parts are plain replacements."""
-    part = lambda x: F.replace(F.replace(x, F.lit("\\l"), F.lit("<")), F.lit("\\c"), F.lit(":"))
+    part = lambda x: F.replace(F.replace(F.replace(x, F.lit("\\l"), F.lit("<")), F.lit("\\h"), F.lit("#")), F.lit("\\c"), F.lit(":"))
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), part), "\\")
 
 
@@ -74,7 +76,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     one = F.array(F.struct(F.col("t.role").alias("role"), F.col("t.text").alias("text"), F.lit(False).alias("escaped")))
     back = parse(_render(one))
-    marked = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).withColumn("escaped", ~(back == _plain(one)))
+    marked = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).withColumn("escaped", ~(back == _plain(one)) | F.col("t.text").contains(MARK) | F.col("t.role").contains(MARK))
     chats = marked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t.turn", "t.role", "t.text", "escaped"))).alias("turns"))
     chats = chats.withColumn("first", _render(F.col("turns")))
     chats = chats.withColumn("same", parse(F.col("first")) == _plain(F.col("turns")))

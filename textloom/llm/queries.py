@@ -60,9 +60,9 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 sized AS (
-  SELECT *, contains(text, '</turn>') OR contains(role, '</turn>') OR contains(role, ': ') AS bad,
+  SELECT *, contains(text, '</turn>') OR contains(role, '</turn>') OR contains(role, ': ') OR contains(text, '###') OR contains(role, '###') AS bad,
     length(text) + length(role) + 13 AS plain,
-    length(replace(replace(text, '\', '\\'), '<', '\l')) + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), ':', '\c')) + 13 AS escaped
+    length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + 13 AS escaped
   FROM turns)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
