@@ -11,8 +11,8 @@ by word, and counts where the shared run reaches ``SPAN`` words. Items with fewe
 is joined with the document's runs of that many words.
 
 The benchmark is the stated query set: it is dealt into blocks of at most ``BLOCK_CHARS`` characters (or one item),
-however large it is, and each block is broadcast to one pass over the documents, whose texts are never shuffled. Hit
-ranges of several blocks are merged by document.
+however large it is, and each block is broadcast to one pass over the documents, whose texts are never shuffled. One
+block is on the driver at a time. Hit ranges of several blocks are merged by document.
 
 Defined cases: null or empty texts have no words and no hit; items without words, or with a null id, have no window;
 repeated items with one id count once; repeated document rows each get their row; empty tables give empty results or
@@ -22,6 +22,7 @@ no hits. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
-from textloom.llm.common import blocks, text_buffers, tune
+from textloom.llm.common import blocks, cut, text_buffers, tune
 
 SPAN, GRAM = 10, 5
 #: Characters of benchmark text that one pass over the documents carries to each worker.
@@ -171,10 +172,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHAR
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs`` (doc_id, text)."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    found = list(item_blocks(benchmark, chars))
-    if len(found) > 1:  # rows are told apart by text as well, as ids may repeat
+    blocks_of = item_blocks(benchmark, chars)
+    first, second = next(blocks_of, []), next(blocks_of, None)
+    if second is None:
+        scans = [docs.mapInArrow(_scan(first), _HITS)]
+    else:  # each pass is written before the next block is read; rows are told apart by text as well, as ids may repeat
         docs = docs.withColumn("row", F.xxhash64("text"))
-    scans = [docs.mapInArrow(_scan(block), _HITS) for block in found or [[]]]
+        scans = [cut(docs.mapInArrow(_scan(block), _HITS)) for block in itertools.chain([first, second], blocks_of)]
     hits = scans[0]
     if len(scans) > 1:
         for scan in scans[1:]:
