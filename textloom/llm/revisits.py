@@ -14,7 +14,7 @@ windows carry record ids, validators and headers.
 Canonical URL: scheme, ``www.`` and default ports off, host lower-cased, the fragment and ``utm_*``, ``ref`` and
 ``sessionid`` parameters off, the other parameters sorted, a trailing slash off.
 
-Defined cases: rows with a null URL or time never resolve; of rows with one URL, time and record id, which one is last
+Defined cases: rows with a null URL or time never resolve, and go through no window; of rows with one URL, time and record id, which one is last
 isn't defined, and they agree if the rows are repeats; an empty table gives an empty result. Other columns are not read.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE_S = 86_400
+SLICE_S = 3_600
 #: Headers that a not-modified answer may update, fixed by the HTTP specification (RFC 9111 section 4.3.4, RFC 9110 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -50,17 +50,19 @@ def resolve(records: DataFrame) -> DataFrame:
     ``resolved``; the others are ``changed`` (validators disagree), ``unverified`` (none in common) and ``orphan``.
     """
     r = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url").cast("string")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "digest", "headers")
-    r = r.withColumn("slice", F.floor(F.col("ts") / SLICE_S))
-    full = F.when((F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers"))
-    r = r.withColumn("response", full)
+    placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    lost = r.where(~placed & (F.col("kind") == "revisit"))  # never meets a response, so it goes into no window
+    r = r.where(placed).withColumn("slice", F.floor(F.col("ts") / SLICE_S))
+    r = r.withColumn("response", F.when(F.col("kind") == "response", F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers")))
     before = W.partitionBy("url_key", "slice").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
     near = r.withColumn("near", F.last("response", ignorenulls=True).over(before)).where("kind = 'revisit'")
     ends = r.where("response is not null").groupBy("url_key", "slice").agg(F.max_by("response", F.struct("ts", "record_id")).alias("end"))
-    needed = near.where("near is null and url_key is not null and ts is not null").select("url_key", "slice").distinct()
+    needed = near.where("near is null").select("url_key", "slice").distinct()
     marks = ends.join(needed.withColumn("asked", F.lit(True)), ["url_key", "slice"], "full")
     earlier = W.partitionBy("url_key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = marks.withColumn("far", F.last("end", ignorenulls=True).over(earlier)).where("asked and far is not null").select("url_key", "slice", "far")
     found = near.join(carried, ["url_key", "slice"], "left").withColumn("to", F.coalesce("near", "far"))
+    found = found.unionByName(lost, allowMissingColumns=True)
 
     def agree(a: Column, b: Column) -> Column:
         return F.when(a.isNotNull() & b.isNotNull(), a == b)
