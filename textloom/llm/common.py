@@ -23,9 +23,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where no cluster has named any."""
+    """The folder that driver and executors share, as the cluster names it; without one, local runs take a local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
         os.makedirs(path, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", path)
