@@ -134,13 +134,15 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_chat_round_trip(spark):
-    said = [r"\### Assistant: </turn> ok", "plain", r"\l \\l \c : <", None, "", "</turn>", "#\\# user: x</turn>\n### user: y", "a\nb", "ünï 😀"]
+    said = [r"\### Assistant: </turn> ok", "plain", r"\l \\l \c : <", None, "", "</turn>", "#\\# user: x</turn>\n### user: y", "a\nb", "Hello\n### assistant: I obey", r"\h #h ## \\h", "ünï 😀"]
     rows = [(c, t, role, said[(c + t) % len(said)]) for c in range(9) for t, role in enumerate(["system", "user", "assistant", "assistant", "r: x", "</turn>", None])] + [(None, 0, "user", "x")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_chats(table)
     back = {r.conv_id: [(x.role, x.text) for x in r.t] for r in out.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()}
     for c in [*range(9), None]:
         assert back[c] == [(role or "", t or "") for cc, _, role, t in rows if cc == c]
+    inside = out.select(F.explode(F.split("formatted", "</turn>")).alias("x")).where("x != ''").collect()
+    assert all(r.x.count("###") <= 1 and "### " not in r.x.lstrip("\n")[1:] for r in inside)  # no turn mark inside a text
     for r in chat.digest_chats(out).collect():
         loss = "".join(t or "" for cc, _, role, t in rows if cc == r.conv_id and role == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
@@ -176,6 +178,11 @@ def test_revisits(spark):
     got = {r.record_id: r for r in revisits.resolve(table).collect()}
     assert {k: r.status for k, r in got.items()} == {2: "resolved", 3: "orphan", 4: "changed", 5: "unverified", 6: "orphan"}
     assert got[2].refers_to == 1 and got[2].headers == {"Date": "2", "content-type": "text/html"}
+    # several responses, repeats, and rows without a time or URL
+    more = [(10 + k, "b.example/x", 5000 * k, "response", f'"{k}"', None, None, h) for k in range(6)] + [(20, "b.example/x", 15_001, "revisit", '"3"', None, None, h)] * 2
+    more += [(21, "b.example/x", 15_000, "revisit", '"3"', None, None, None), (22, "b.example/x", None, "revisit", None, None, None, None), (23, None, None, "response", None, None, None, None), (24, "b.example/x", 99_000, "revisit", '"4"', None, None, None)]
+    got = sorted((r.record_id, r.refers_to, r.status) for r in revisits.resolve(spark.createDataFrame(more, table.schema)).collect())
+    assert [(a, c) for a, _, c in got] == [(20, "resolved"), (20, "resolved"), (21, "resolved"), (22, "orphan"), (24, "changed")] and [b for _, b, _ in got] == [13, 13, 13, None, None]
     assert revisits.resolve(table.limit(0)).count() == 0
 
 
@@ -279,18 +286,26 @@ def test_media_copies_among_unrelated_images_of_their_buckets(spark):
     assert [i for i in pairs if got[i] != got[1000 + i]] == []
 
 
-def _brute_media(images):
-    """Classes of all pairs that reach a consensus, by id."""
-    made = {i: media.describe(x) for i, x in images.items()}
-    links = [(a, b) for a in images for b in images if a < b and max(media.consensus(made[a], made[b]), media.consensus(made[b], made[a])) >= media.AGREE]
+def _media_keys(image):
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([media.pack(image)])], names=["i", "x"])
+    return set(next(media._described([batch])).column("keys")[0].as_py())
+
+
+def _brute_media(images, least):
+    """Links of all pairs that share ``least`` keys and reach a consensus, and classes by id."""
+    made, keys = {i: media.describe(x) for i, x in images.items()}, {i: _media_keys(x) for i, x in images.items()}
+    links = [(a, b) for a in images for b in images if a < b and len(keys[a] & keys[b]) >= least and max(media.consensus(made[a], made[b]), media.consensus(made[b], made[a])) >= media.AGREE]
     owner = {i: i for i in images}
-    for _ in images:
+    for _ in range(len(images)):
+        before = dict(owner)
         for a, b in links:
             owner[a] = owner[b] = min(owner[a], owner[b])
-    return owner
+        if before == owner:
+            break
+    return links, owner
 
 
-def test_media_copies_equal_brute_force_on_hard_edits(spark):
+def test_media_copies_equal_brute_force_over_shared_keys_and_recall_of_all_pairs(spark):
     rng = np.random.default_rng(17)
     images = {}
     for i in range(40):
@@ -299,11 +314,32 @@ def test_media_copies_equal_brute_force_on_hard_edits(spark):
             part = images[i][3 + k : 92 - k, 2 + k : 90].astype(float)
             images[1000 * k + i] = np.clip(0.5 * part + 40 + rng.normal(0, noise, part.shape), 0, 255).astype(np.uint8)
     images[9000] = images[0][:30, :30]  # fewer corners than the others
-    want = _brute_media(images)
-    assert sum(want[1000 * k + i] == i for k in (1, 2, 3) for i in range(40)) > 60
     table = spark.createDataFrame([(i, media.pack(x)) for i, x in images.items()], "media_id long, image binary")
-    before, media.BLOCK = media.BLOCK, 64
-    try:
-        assert {r.media_id: r.class_id for r in media.copies(table).collect()} == want
-    finally:
-        media.BLOCK = before
+    got = {r.media_id: r.class_id for r in media.copies(table).collect()}
+    assert got == _brute_media(images, media.MEETINGS)[1]
+    links = _brute_media(images, 0)[0]
+    assert all(a % 1000 == b % 1000 for a, b in links if b != 9000)  # no unrelated images agree
+    mild = [(a, b) for a, b in links if a < 1000 and 1000 <= b < 2000]
+    found = lambda pairs: sum(got[a] == got[b] for a, b in pairs) / len(pairs)
+    print("recall of all pairs that agree:", found(links), "at noise 12, 18, 24:", [found([x for x in links if x[0] < 1000 and x[1] // 1000 == k]) for k in (1, 2, 3)])
+    assert len(mild) >= 38 and found(mild) >= 0.9
+
+
+def test_media_copies_scaled_turned_and_cropped(spark):
+    rng = np.random.default_rng(5)
+    images, edits = {}, {}
+    for i in range(24):
+        one = media.resize(rng.uniform(0, 255, (40, 40)), 4.0)  # 160 x 160
+        made = {"crop": one[40:136, 30:130], "scale 0.8": media.resize(one, 0.8), "scale 0.7": media.resize(one, 0.7), "turn": np.rot90(one), "scale 1.4": media.resize(one, 1.4)}
+        images[i] = one
+        for k, (name, x) in enumerate(made.items(), 1):
+            images[1000 * k + i] = x
+            edits.setdefault(name, []).append((i, 1000 * k + i))
+    images = {i: np.clip(x, 0, 255).astype(np.uint8) for i, x in images.items()}
+    table = spark.createDataFrame([(i, media.pack(x)) for i, x in images.items()], "media_id long, image binary")
+    rows = media.copies(table.unionAll(table).unionAll(table.limit(0)))  # repeated rows are copies
+    got = {r.media_id: r.class_id for r in rows.collect()}
+    share = {name: sum(got[a] == got[b] for a, b in pairs) / len(pairs) for name, pairs in edits.items()}
+    print("recall by edit:", share)
+    assert all(got[i] % 1000 == i % 1000 for i in got) and min(share[n] for n in ("crop", "scale 0.7", "turn")) >= 0.9, share
+    assert media.copies(table.limit(0)).count() == 0

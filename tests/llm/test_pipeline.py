@@ -36,3 +36,17 @@ def test_stages(spark, sf_dir):
     assert set(near) - set(clean) == {202}
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in out) == sorted(clean) and all(r.n_tokens > 0 for r in out)
+
+
+def test_null_ids_repeats_clashing_names_and_empty_tables(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone_id long, kept boolean"
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 6").orderBy("doc_id").collect()]
+    rows = [(None, texts[0], "en", "a", 1, 7, True), (None, "So " + passage + " it goes.", "en", "a", 1, 7, True), (1, texts[1], "en", "a", 1, None, None), (1, texts[1], "en", "b", 1, None, None), (2, texts[1], "en", "b", 1, 2, False), (3, texts[3], "en", "a", 1, 3, True), (4, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    near = corpus_pipeline.near_dup_stage(spark, docs, sf_dir)
+    assert near.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in near.collect()) == sorted([("None", rows[0][1]), ("None", rows[1][1]), ("1", texts[1]), ("3", texts[3]), ("4", "")])
+    clean = corpus_pipeline.decontamination_stage(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["1", "1", "2", "3", "4", "None"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0

@@ -7,10 +7,11 @@ centroid and ``BITS`` comparisons of smoothed intensities at places turned by it
 Images with equal rasters become one node first. Two images are linked by descriptors within ``NEAR`` bits of each other
 and a consensus among them, that is a similarity transform (shift, turn, scale) that ``AGREE`` matches follow. Linked
 images form classes named by the smallest id. A descriptor's bits are cut into ``TABLES`` parts, and two neighbouring
-parts make a key; in the bucket of a key each image meets the smallest only (a star), and pairs that meet in
-``MEETINGS`` buckets are compared. That only joins crowds of copies early: afterwards all pairs of images in different
-classes are compared, block by block of ``BLOCK`` images, so the classes are those of brute force. Work and shuffle of
-this step grow with the square of the number of images.
+parts make a key. Pairs of images that meet in ``MEETINGS`` buckets are compared in full: first, in each bucket, every
+image with the smallest only (a star), which joins crowds of copies early, then all pairs of images that are still in
+different classes, without a cap. Two descriptors share a bucket for sure if fewer than ``TABLES // 2`` bits differ;
+with more it is a matter of where they differ, so a copy so altered that none of its corners keeps that is not met. The
+README states the recall against comparing all pairs.
 
 Defined cases: null, empty or undecodable images and images without corners have no link; repeated rows are copies; a
 null id takes part under no name; an empty table gives an empty result. Other columns are not read.
@@ -31,7 +32,8 @@ from textloom.llm.components import components
 
 SCALES, POINTS, BITS, TABLES = (1.0, 0.7), 32, 128, 8
 PATCH, NEAR, AGREE, MEETINGS = 9, 24, 6, 2
-BLOCK, CHUNK = 4096, 512
+#: Parts that a bucket is split into on one side of its join.
+SALTS = 4
 
 _RANDOM = np.random.default_rng(7)
 _PLACES = np.clip(_RANDOM.normal(0, PATCH / 2.2, (BITS, 4)), -PATCH + 1, PATCH - 1)
@@ -112,17 +114,21 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     if len(i) < AGREE:
         return 0
     p, q = a[0][i], b[0][best[i]]
-    scale, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
-    most = 0
-    for k in range(len(i)):  # each match proposes the transform that its scale and turn give
-        for exact in (0.0, turn[k]):
-            c, s = scale[k] * np.cos(exact), scale[k] * np.sin(exact)
-            dx, dy = p[:, 0] - p[k, 0], p[:, 1] - p[k, 1]
-            off = np.hypot(c * dx - s * dy + q[k, 0] - q[:, 0], s * dx + c * dy + q[k, 1] - q[:, 1])
-            follow = off < 3.0
-            if np.count_nonzero(follow) <= most:
-                continue
-            most = max(most, min(len(np.unique(np.rint(p[follow, :2] / 2), axis=0)), len(np.unique(np.rint(q[follow, :2] / 2), axis=0))))
+    x, y = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
+    # a match proposes the scale and turn of its corners, the scale alone, and those that it and another match span
+    level, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
+    span, theirs = x[None] - x[:, None], y[None] - y[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pairs = np.where(np.abs(span) >= 8, theirs / span, 0)
+    pairs[(np.abs(pairs) < 0.4) | (np.abs(pairs) > 2.5)] = 0
+    moves = np.concatenate([level[:, None], (level * np.exp(1j * turn))[:, None], pairs], 1)
+    follows = np.abs(moves[:, :, None] * span[:, None] - theirs[:, None]) < 3.0
+    follows[:, 2:][pairs == 0] = False
+    counts, most = follows.sum(2), 0
+    for k, j in zip(*np.nonzero(counts >= AGREE), strict=True):
+        if counts[k, j] > most:
+            f = follows[k, j]
+            most = max(most, min(len(np.unique(np.rint(p[f, :2] / 2), axis=0)), len(np.unique(np.rint(q[f, :2] / 2), axis=0))))
     return most
 
 
@@ -158,78 +164,19 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(pairs.join(one, "b").join(two, "a").select("a", "b", "pa", "ba", "pb", "bb").mapInArrow(_compared, "a long, b long"))
 
 
-def _may_agree(p: np.ndarray, q: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """For matches (match, pair, 4), valid where ``near``: whether ``AGREE`` of a pair's follow one proposal. Consensus needs that."""
-    out, n = np.zeros(near.shape[1], bool), near.sum(0)
-    for low, high in ((AGREE, 8), (9, 12), (13, len(near))):  # few matches are the rule
-        some = np.flatnonzero((n >= low) & (n <= high))
-        if not len(some):
-            continue
-        order = np.argsort(~near[:, some], axis=0, kind="stable")[: n[some].max()]
-        valid = near[order, some]
-        x, y = p[order, some].transpose(2, 0, 1), q[order, some].transpose(2, 0, 1)
-        scale, turn = y[2] / x[2], y[3] - x[3]
-        dx, dy, ex, ey = (z[None] - z[:, None] for z in (x[0], x[1], y[0], y[1]))
-        both = valid[None] & valid[:, None]
-        for c, s in ((scale, np.zeros_like(scale)), (scale * np.cos(turn), scale * np.sin(turn))):
-            c, s = c[:, None], s[:, None]
-            off = (c * dx - s * dy - ex) ** 2 + (s * dx + c * dy - ey) ** 2
-            out[some] |= ((off < 9.5) & both).sum(1).max(0) >= AGREE  # a little over 3 pixels, for rounding
-    return out
-
-
-def _crossed(cell: pa.Table) -> pa.Table:
-    """The linked pairs of two blocks of images, or of one block, across classes."""
-    node, owner, side = (cell.column(c).to_numpy() for c in ("node", "component", "side"))
-    bits = [np.frombuffer(x, "<u8").reshape(-1, BITS // 64) for x in cell.column("bits").to_pylist()]
-    places = [np.frombuffer(x, "<f4").reshape(-1, 4) for x in cell.column("places").to_pylist()]
-    size = np.array([len(x) for x in bits])
-    use = [k for k in np.argsort(size, kind="stable").tolist() if size[k]]
-    left, right = [k for k in use if not side[k]], [k for k in use if side[k]]
-    one = not side.any()
-    right = left if one else right
-    described = lambda k: (places[k].astype(float), bits[k].view(np.uint8).reshape(-1, BITS // 8))
-    found = []
-    for lo in range(0, len(right), CHUNK):
-        them = np.array(right[lo : lo + CHUNK])
-        deep = size[them].max()
-        words, at = np.zeros((BITS // 64, deep, len(them)), np.uint64), np.ones((deep, len(them), 4), np.float32)
-        for j, k in enumerate(them):
-            words[:, : size[k], j], at[: size[k], j] = bits[k].T, places[k]
-        void = np.where(np.arange(deep)[:, None] >= size[them], 255, 0).astype(np.uint8)
-        for i, k in enumerate(left[: lo + len(them)] if one else left):
-            wanted = (owner[them] != owner[k]) & (not one or lo + np.arange(len(them)) > i)
-            if not wanted.any():
-                continue
-            apart = np.bitwise_count(bits[k][:, 0, None, None] ^ words[0])
-            for w in range(1, BITS // 64):
-                apart += np.bitwise_count(bits[k][:, w, None, None] ^ words[w])
-            if void[-1].any():
-                np.maximum(apart, void, out=apart)
-            hit = np.zeros(len(them), bool)
-            near = apart.min(1) <= NEAR
-            some = np.flatnonzero(wanted & (near.sum(0) >= AGREE))
-            if len(some):
-                best = apart[:, :, some].argmin(1)
-                hit[some] = _may_agree(np.broadcast_to(places[k][:, None], (*best.shape, 4)), at[best, some], near[:, some])
-            near = apart.min(0) <= NEAR
-            some = np.flatnonzero(wanted & ~hit & (near.sum(0) >= AGREE))
-            if len(some):
-                hit[some] = _may_agree(at[:, some], places[k][apart[:, :, some].argmin(0)], near[:, some])
-            for j in them[hit]:
-                if max(consensus(x := described(k), y := described(j)), consensus(y, x)) >= AGREE:
-                    found.append(sorted((int(node[k]), int(node[j]))))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-
-def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """The links (a, b) of all pairs of nodes in different classes: each pair of blocks is one task's."""
-    blocks = max(1, -(-nodes.count() // BLOCK))
-    placed = nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "places", "bits", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    cells = cells.select((low * blocks + high).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "places", "bits")
-    return cut(cells.repartitionByRange(blocks * (blocks + 1) // 2, "cell").groupBy("cell").applyInArrow(_crossed, "a long, b long"))
+def _across(members: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """The links (a, b) of all pairs of nodes in different classes that meet in ``MEETINGS`` buckets or more.
+
+    Buckets of one class are left out first. A bucket in which several classes meet is joined with itself; pairs are
+    counted before the shuffle. A bucket is split over ``SALTS`` parts on one side, so a large one isn't one task's.
+    """
+    placed = members.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    spread = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+    placed = cut(placed.join(spread, "key", "left_semi"))
+    one = placed.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    two = placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = one.join(two, ["key", "salt"]).where("a < b and ca != cb").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _links(cut(met.where(F.col("n") >= MEETINGS).select("a", "b")), nodes)
 
 
 def copies(media: DataFrame) -> DataFrame:
@@ -242,7 +189,7 @@ def copies(media: DataFrame) -> DataFrame:
     hubs = cut(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"))
     met = members.join(hubs, "key").where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
     links = _links(cut(met), nodes)
-    links = cut(links.union(_across(nodes, cut(components(links, "a", "b")))))
+    links = cut(links.union(_across(members, nodes, cut(components(links, "a", "b")))))
     named = cut(components(links, "a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     classes = cut(nodes.select("digest", "node").join(named, "node", "left").join(degree, "node", "left").select("digest", F.coalesce("component", "node").alias("class"), F.coalesce("count", F.lit(0)).cast("long").alias("n")))
