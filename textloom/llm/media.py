@@ -105,7 +105,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The most matches that follow one similarity transform from ``a`` to ``b``."""
+    """Matches that follow one similarity transform from ``a`` to ``b``: ``AGREE`` or more, or how few at most."""
     if not len(a[0]) or not len(b[0]):
         return 0
     apart = np.bitwise_count(a[1][:, None] ^ b[1][None]).sum(2)
@@ -115,20 +115,29 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
         return 0
     p, q = a[0][i], b[0][best[i]]
     x, y = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
-    # a match proposes the scale and turn of its corners, the scale alone, and those that it and another match span
     level, turn = q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
     span, theirs = x[None] - x[:, None], y[None] - y[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pairs = np.where(np.abs(span) >= 8, theirs / span, 0)
-    pairs[(np.abs(pairs) < 0.4) | (np.abs(pairs) > 2.5)] = 0
-    moves = np.concatenate([level[:, None], (level * np.exp(1j * turn))[:, None], pairs], 1)
+    # a match proposes the scale and turn of its corners, or the scale alone; if that isn't enough, what it spans with another
+    moves = np.stack([level.astype(complex), level * np.exp(1j * turn)], 1)
+    most = _most(moves, span, theirs, p, q, np.ones(moves.shape, bool))
+    if most < AGREE:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            moves = np.where(np.abs(span) >= 8, theirs / span, 0)
+        most = max(most, _most(moves, span, theirs, p, q, (np.abs(moves) >= 0.4) & (np.abs(moves) <= 2.5)))
+    return most
+
+
+def _most(moves: np.ndarray, span: np.ndarray, theirs: np.ndarray, p: np.ndarray, q: np.ndarray, may: np.ndarray) -> int:
+    """Matches that follow one of the proposed moves, counted by places apart; no further than ``AGREE`` tells."""
     follows = np.abs(moves[:, :, None] * span[:, None] - theirs[:, None]) < 3.0
-    follows[:, 2:][pairs == 0] = False
-    counts, most = follows.sum(2), 0
-    for k, j in zip(*np.nonzero(counts >= AGREE), strict=True):
-        if counts[k, j] > most:
-            f = follows[k, j]
-            most = max(most, min(len(np.unique(np.rint(p[f, :2] / 2), axis=0)), len(np.unique(np.rint(q[f, :2] / 2), axis=0))))
+    counts = np.where(may, follows.sum(2), 0)
+    most = 0
+    for at in np.argsort(-counts, axis=None).tolist():
+        k, j = divmod(at, counts.shape[1])
+        if counts[k, j] <= most or counts[k, j] < AGREE or most >= AGREE:
+            break
+        f = follows[k, j]
+        most = max(most, min(len(np.unique(np.rint(p[f, :2] / 2), axis=0)), len(np.unique(np.rint(q[f, :2] / 2), axis=0))))
     return most
 
 
