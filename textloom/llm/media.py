@@ -32,8 +32,6 @@ from textloom.llm.components import components
 
 SCALES, POINTS, BITS, TABLES = (1.0, 0.7), 32, 128, 8
 PATCH, NEAR, AGREE, MEETINGS = 9, 24, 6, 2
-#: Parts that a bucket is split into on one side of its join.
-SALTS = 4
 
 _RANDOM = np.random.default_rng(7)
 _PLACES = np.clip(_RANDOM.normal(0, PATCH / 2.2, (BITS, 4)), -PATCH + 1, PATCH - 1)
@@ -177,14 +175,13 @@ def _across(members: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     """The links (a, b) of all pairs of nodes in different classes that meet in ``MEETINGS`` buckets or more.
 
     Buckets of one class are left out first. A bucket in which several classes meet is joined with itself; pairs are
-    counted before the shuffle. A bucket is split over ``SALTS`` parts on one side, so a large one isn't one task's.
+    counted before the shuffle. Adaptive execution splits a bucket that is much larger than others.
     """
-    placed = members.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     spread = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
     placed = cut(placed.join(spread, "key", "left_semi"))
-    one = placed.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    two = placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    met = one.join(two, ["key", "salt"]).where("a < b and ca != cb").groupBy("a", "b").agg(F.count("*").alias("n"))
+    one, two = (placed.select("key", F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
+    met = one.join(two, "key").where("a < b and ca != cb").groupBy("a", "b").agg(F.count("*").alias("n"))
     return _links(cut(met.where(F.col("n") >= MEETINGS).select("a", "b")), nodes)
 
 
@@ -194,9 +191,10 @@ def copies(media: DataFrame) -> DataFrame:
     media = media.select(F.col("media_id").cast("long").alias("media_id"), F.col("image").cast("binary").alias("image"))
     found = cut(media.mapInArrow(_described, "media_id long, digest binary, places binary, bits binary, keys array<long>"))
     nodes = cut(found.where("digest is not null and media_id is not null").groupBy("digest").agg(F.min("media_id").alias("node"), F.first("places").alias("places"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = cut(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"))
-    met = members.join(hubs, "key").where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
+    every = nodes.select("node", F.explode("keys").alias("key"))
+    hubs = cut(every.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"))
+    members = cut(every.join(hubs, "key").select("key", "node", "centre"))  # most keys are met by one image only
+    met = members.where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
     links = _links(cut(met), nodes)
     links = cut(links.union(_across(members, nodes, cut(components(links, "a", "b")))))
     named = cut(components(links, "a", "b"))
