@@ -45,11 +45,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows that repeat an id with its text are one document, of which one row stays; rows without an id are in no group.
     """
     found = near_dup.near_duplicates(docs.select("doc_id", "text"), percent=80)
-    left = _without(docs, found.where("not kept and doc_id is not null").select("doc_id").distinct())
-    repeated = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone = cut(found.where("not kept and doc_id is not null").select("doc_id").distinct())
+    # written first: without repeated rows, which are the exception, their join costs nothing
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     key = _key(docs)
-    again = left.join(repeated.toDF(key), F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(left, repeated).unionByName(again)
+    again = docs.join(repeated.toDF(key), F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(_without(docs, repeated), gone).unionByName(_without(again, gone))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
