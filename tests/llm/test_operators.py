@@ -194,7 +194,7 @@ def table(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_language_accuracy_and_odd_texts(spark, table):
     path = vocabulary("piece_bpe_32k.model")
-    model = langid.train(table("documents"), path, sample=400)
+    model = langid.train(table("documents"), path, sample=100)
     rows = langid.predict(table("documents"), path, model).join(table("documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
     odd = langid.predict(docs(spark, [None, "", "12 !!", *ODD]), path, model).collect()
@@ -208,11 +208,46 @@ def test_forward_sums_all_segmentations():
     def brute(w):
         if not w:
             return 1.0
-        return sum((p.get(w[:n], langid.UNKNOWN if n == 1 else 0.0)) * brute(w[n:]) for n in range(1, min(langid.PIECE, len(w)) + 1))
-    for w in ("the", "nation", "über", "ñx"):
+        return sum((p.get(w[:n], langid.UNKNOWN if n == 1 else 0.0)) * brute(w[n:]) for n in range(1, len(w) + 1))
+    for w in ("the", "nation", "über", "ñx", "function", "ñññfunctionality"):
         assert np.exp(langid.Scorer(vocabulary_, table).new([w])[0, 0]) == pytest.approx(brute(langid.START + w))
 
 
+def test_forward_of_long_words_and_many_languages(monkeypatch):
+    vocabulary_ = langid.Vocabulary(vocabulary("piece_bpe_32k.model"))
+    table = np.random.default_rng(0).dirichlet(np.ones(len(vocabulary_.pieces)), 3).T
+    word = langid.START + "information中文ñ" * 300
+    logs = [[float("-inf")] * 3 for _ in range(len(word) + 1)]
+    logs[0] = [0.0] * 3
+    index = {p: i for i, p in enumerate(vocabulary_.pieces)}
+    for end in range(1, len(word) + 1):
+        for g in range(3):
+            ways = []
+            for size in range(1, min(end, vocabulary_.longest) + 1):
+                piece = word[end - size : end]
+                p = table[index[piece], g] if piece in index else langid.UNKNOWN if size == 1 else 0
+                if p:
+                    ways.append(logs[end - size][g] + np.log(p))
+            logs[end][g] = np.logaddexp.reduce(ways)
+    assert langid.Scorer(vocabulary_, table).new([word[1:]])[0] == pytest.approx(logs[-1])
+    monkeypatch.setattr(langid, "SPAN", 24)
+    assert langid.Scorer(vocabulary_, table).new([word[1:]])[0] == pytest.approx(logs[-1])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_language_sample_ties_and_empty_tables(spark, table):
+    path = vocabulary("piece_bpe_32k.model")
+    rows = [(i, "wort und satz" if i % 2 else "word and phrase", "de" if i % 2 else "en", "s", 1) for i in range(40)]
+    some = docs(spark, [], rows + rows + [(None, "x", "en", "s", 1), (90, None, "en", "s", 1), (91, "lone", None, "s", 1)])
+    languages, learnt = langid.train(some, path, sample=3)
+    assert languages == ["de", "en"] and learnt.shape[1] == 2
+    tie = langid.predict(docs(spark, ["word", "wort"]), path, (["b", "a"], np.repeat(learnt[:, :1], 2, 1))).collect()
+    assert [(r.lang_pred, r.score) for r in tie] == [("b", 0.5)] * 2
+    none = docs(spark, [])
+    assert langid.train(none, path)[0] == [] and langid.predict(none, path, langid.train(none, path)).count() == 0
+    assert [r.lang_pred for r in langid.predict(docs(spark, ["word"]), path, langid.train(none, path)).collect()] == ["und"]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_quality_accuracy(spark, table):
     weights = quality.train(table("documents"))

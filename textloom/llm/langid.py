@@ -3,12 +3,15 @@
 Each language has a probability for every piece of the vocabulary (the letter pieces of a public sentencepiece model,
 lower-cased as they are; it is read, not trained). A word is a longest run of letters, lower-cased, with a word-start
 mark; its probability is the sum over all ways to cut it into pieces, by a forward algorithm. A letter that is no piece
-counts as one of ``UNKNOWN`` probability. Words longer than ``LETTERS`` are scored in parts of that length. A text's
-score sums the logarithms of its words over the whole text.
+counts as one of ``UNKNOWN`` probability. Words of any length are scored whole: the forward sums are rescaled on the way
+and only those that the longest piece reaches back to are kept. A text's score sums the logarithms of its words over the
+whole text.
 
 Piece probabilities are learnt by expectation-maximisation (forward-backward over the same cuts) from the words of a
-bounded sample: of the rows that may be learnt from, the ``SAMPLE`` with the smallest hash of their id. Distinct words
-are scored once per worker while they are in a table of at most ``CACHE`` words, all of a batch's new ones together.
+bounded sample: of each language's rows that may be learnt from, the ``SAMPLE`` with the smallest hash of their id (one
+text of those with the same hash); there, words longer than ``LETTERS`` are learnt in parts of that length. Distinct
+words are scored once per worker while they are in a table of at most ``CACHE`` words (and 20 times as many letters), all
+of a batch's new ones together.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; ties go to the language first in order;
 with nothing to learn from every text gets ``und``; repeated rows each get their row; an empty table gives an empty
@@ -23,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import hashing as H
 from textloom.llm.common import crc_mod, tune
 
-SAMPLE, ROUNDS = 2000, 4
-LETTERS, PIECE = 30, 8
+SAMPLE, ROUNDS = 500, 4
+LETTERS = 30
 UNKNOWN, SMOOTH = 1e-7, 0.05
 CACHE = 300_000
 START = "▁"
+#: Letters whose pieces are looked up at once, and letters between two rescalings.
+SPAN, RESCALE = 2048, 8
 
 
 class Vocabulary:
@@ -45,16 +50,24 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
         body = lambda p: p[1:] if p.startswith(START) else p
-        self.pieces = sorted(p for p in pieces if len(p) <= PIECE and (p == START or (body(p).isalpha() and p == p.lower())))
+        self.pieces = sorted(p for p in pieces if p == START or (body(p).isalpha() and p == p.lower()))
+        self.longest = max(map(len, self.pieces))
         hashes = np.array([_piece_hash(p) for p in self.pieces], np.uint64)
-        order = np.argsort(hashes)
-        # a hash table of one probe: slots by the leading bits, as many as it takes for runs to be short
-        self.sorted, self.ids = hashes[order], order.astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of the piece for each hash, or -1."""
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.ids[at], -1)
+        sizes = np.array([len(p) for p in self.pieces])
+        self.by_size = {}
+        for size in range(1, self.longest + 1):
+            at = np.flatnonzero(sizes == size)
+            at = at[np.argsort(hashes[at])]
+            self.by_size[size] = hashes[at], at
+
+    def find(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Index of the piece of that many letters for each hash, or -1; -2 for a letter that is no piece."""
+        ordered, ids = self.by_size[size]
+        none = -2 if size == 1 else -1
+        if not len(ordered):
+            return np.full(hashes.shape, none)
+        at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+        return np.where(ordered[at] == hashes, ids[at], none)
 
 
 def _piece_hash(piece: str) -> int:
@@ -64,43 +77,74 @@ def _piece_hash(piece: str) -> int:
     return h
 
 
-def _cuts(vocabulary: Vocabulary, words: list[str]) -> dict[int, np.ndarray]:
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+
+
+def _cuts(vocabulary: Vocabulary, codes: np.ndarray) -> dict[int, np.ndarray]:
     """For words of one length (with mark): by size, the piece (or -1) at each start; unknown letters are -2."""
-    n = len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+    n = codes.shape[1]
     out, rolled = {}, None
     with np.errstate(over="ignore"):
-        for size in range(1, min(PIECE, n) + 1):
+        for size in range(1, min(vocabulary.longest, n) + 1):
             last = codes[:, size - 1 :]
             rolled = last.copy() if rolled is None else rolled[:, : n - size + 1] * np.uint64(0x9E3779B97F4A7C15) + last
-            out[size] = vocabulary.find(rolled)
-    out[1] = np.where(out[1] < 0, -2, out[1])
+            out[size] = vocabulary.find(rolled, size)
     return out
 
 
 def _forward(cuts: dict[int, np.ndarray], table: np.ndarray, n: int) -> np.ndarray:
-    """alpha[:, j, g]: probability of the first j letters in language g. table: pieces + none + unknown, by language."""
-    alpha = np.zeros((n + 1, len(cuts[1]), table.shape[1]))
+    """alpha[j]: probability of the first j letters of each (short) word. table: pieces + none + unknown."""
+    alpha = np.zeros((n + 1, len(cuts[1])))
     alpha[0] = 1
     for end in range(1, n + 1):
-        for size in range(1, min(PIECE, end) + 1):
+        for size in range(1, min(len(cuts), end) + 1):
             alpha[end] += alpha[end - size] * table[cuts[size][:, end - size]]
     return alpha
 
 
+def log_sums(vocabulary: Vocabulary, words: list[str], table: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over all cuts of each word, by language, for words of one length, whatever that is."""
+    codes, g = _codes(words), table.shape[1]
+    n = codes.shape[1]
+    reach = min(vocabulary.longest, n)
+    logs, last = np.zeros((len(words), g)), np.zeros((reach, len(words), g))
+    last[-1] = 1
+    for low in range(0, n, SPAN):
+        high, base = min(n, low + SPAN), max(0, low - reach + 1)
+        # piece of reach - k letters that ends after letter low + e + 1, at [e, k]
+        ids = np.full((high - low, reach, len(words)), -1, np.int32)
+        for size, found in _cuts(vocabulary, codes[:, base:high]).items():
+            skip = max(0, low + 1 - size - base)
+            ids[base + skip + size - low - 1 :, reach - size] = found[:, skip:].T
+        sums = np.zeros((reach + high - low, len(words), g))
+        sums[:reach] = last
+        for e in range(high - low):
+            sums[reach + e] = (sums[e : reach + e] * table[ids[e]]).sum(0)
+            if e % RESCALE == RESCALE - 1:
+                near = sums[e + 1 : reach + e + 1]
+                most = near.max(0)
+                near /= most
+                logs += np.log(most)
+        last = sums[-reach:]
+    return logs + np.log(last[-1])
+
+
 def _padded(probabilities: np.ndarray) -> np.ndarray:
     """Rows for the indexes -2 (an unknown letter) and -1 (no piece) at the end."""
     g = probabilities.shape[1]
     return np.vstack([probabilities, np.full((1, g), UNKNOWN), np.zeros((1, g))])
 
 
-def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
-    """Indexes of words in groups of one length."""
+def by_length(words: list[str], most: int = 100_000) -> Iterator[list[int]]:
+    """Indexes of words in groups of one length, of about ``most`` letters together."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
-    for g in groups.values():
-        yield from (g[k : k + most] for k in range(0, len(g), most))
+    for n, g in groups.items():
+        step = max(1, most // n)
+        yield from (g[k : k + step] for k in range(0, len(g), step))
 
 
 def parts_of(word: str) -> list[str]:
@@ -119,25 +163,25 @@ def learn(vocabulary: Vocabulary, counted: dict[str, dict[str, int]]) -> tuple[l
                 counts[part] += n
         words = list(counts)
         weight = np.array([counts[w] for w in words], float)
-        groups = [(g, _cuts(vocabulary, [words[i] for i in g]), len(words[g[0]])) for g in by_length(words)]
-        p = np.full((len(vocabulary.pieces), 1), 1 / len(vocabulary.pieces))
+        groups = [(g, _cuts(vocabulary, _codes([words[i] for i in g])), len(words[g[0]])) for g in by_length(words)]
+        p = np.full(len(vocabulary.pieces), 1 / len(vocabulary.pieces))
         for _ in range(ROUNDS):
-            expected, table = np.zeros(len(p) + 2), _padded(p)
+            expected, table = np.zeros(len(p) + 2), _padded(p[:, None])[:, 0]
             for g, cuts, n in groups:
-                alpha = _forward(cuts, table, n)[:, :, 0]
+                alpha = _forward(cuts, table, n)
                 beta = np.zeros_like(alpha)
                 beta[n] = 1
                 for start in range(n - 1, -1, -1):
-                    for size in range(1, min(PIECE, n - start) + 1):
-                        beta[start] += table[cuts[size][:, start], 0] * beta[start + size]
+                    for size in range(1, min(len(cuts), n - start) + 1):
+                        beta[start] += table[cuts[size][:, start]] * beta[start + size]
                 scale = weight[g] / alpha[n]
                 for size, ids in cuts.items():
                     for start in range(n - size + 1):
-                        use = alpha[start] * table[ids[:, start], 0] * beta[start + size] * scale
+                        use = alpha[start] * table[ids[:, start]] * beta[start + size] * scale
                         expected += np.bincount(ids[:, start] % len(expected), use, len(expected))
             kept = expected[:-2] + SMOOTH
-            p = (kept / (kept.sum() + expected[-2]))[:, None]
-        columns.append(p[:, 0])
+            p = kept / (kept.sum() + expected[-2])
+        columns.append(p)
     return languages, np.array(columns).T if columns else np.zeros((len(vocabulary.pieces), 0))
 
 
@@ -147,30 +191,26 @@ class Scorer:
     def __init__(self, vocabulary: Vocabulary, table: np.ndarray, cache: int = CACHE) -> None:
         self.vocabulary, self.table, self.most = vocabulary, _padded(table), cache
         self.rows: dict[str, int] = {}
+        self.letters = 0
         self.scores = np.zeros((0, table.shape[1]))
 
     def new(self, words: list[str]) -> np.ndarray:
-        parts, of = [], []
-        for i, w in enumerate(words):
-            for part in parts_of(w):
-                parts.append(part)
-                of.append(i)
-        logs = np.zeros((len(parts), self.table.shape[1]))
-        for g in by_length(parts):
-            logs[g] = np.log(_forward(_cuts(self.vocabulary, [parts[i] for i in g]), self.table, len(parts[g[0]]))[-1])
+        marked = [START + w for w in words]
         out = np.zeros((len(words), self.table.shape[1]))
-        np.add.at(out, of, logs)
+        for g in by_length(marked):
+            out[g] = log_sums(self.vocabulary, [marked[i] for i in g], self.table)
         return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Sums over the words (between blanks) of each text."""
         split = [t.split() for t in texts]
         fresh = list({w for words in split for w in words if w not in self.rows})
-        if fresh and len(self.rows) + len(fresh) > self.most:
-            self.rows, self.scores = {}, self.scores[:0]
+        if fresh and (len(self.rows) + len(fresh) > self.most or self.letters > 20 * self.most):
+            self.rows, self.scores, self.letters = {}, self.scores[:0], 0
             fresh = list({w for words in split for w in words})
         if fresh:
             self.rows.update(zip(fresh, range(len(self.scores), len(self.scores) + len(fresh))))
+            self.letters += sum(map(len, fresh))
             self.scores = np.vstack([self.scores, self.new(fresh)])
         return np.array([self.scores[[self.rows[w] for w in words]].sum(0) if words else np.zeros(self.scores.shape[1]) for words in split]).reshape(len(texts), -1)
 
@@ -186,11 +226,14 @@ def letters(text: str = "text"):
 
 
 def train(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Learn from ``docs`` (doc_id, text, lang): rows of folds 0, 1 and 3 of 4 with a language."""
+    """Learn from ``docs`` (doc_id, text, lang): rows of folds 0, 1 and 3 of 4 with a language, ``sample`` of each."""
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    may = may.select(F.xxhash64(F.col("doc_id").cast("long")).alias("draw"), "lang", "text")
-    last = may.select("draw").orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
-    taken = may.where(F.col("draw") <= F.lit(last)).limit(sample)
+    may = may.select("lang", F.xxhash64(F.col("doc_id").cast("long")).alias("draw"), "text")
+    # one row a document in the ranking, which keeps no more than the sample's of each task
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = may.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= sample)
+    last = drawn.groupBy("lang").agg(F.max("draw").alias("last"))
+    taken = may.join(last, "lang").where(F.col("draw") <= F.col("last")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     words = taken.select("lang", F.explode(F.split(letters(), " ")).alias("word")).where("word != ''")
     counted: dict[str, dict[str, int]] = {}
     for r in words.groupBy("lang", "word").count().collect():
