@@ -83,9 +83,10 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stops = share(_STOP[data]) / some
     variety, lines = np.ones(len(n)), np.zeros(len(n))
     for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if b - a >= 50:  # distinct words of runs of 100, as the share falls with a text's length
-            runs = [len(set(words[i : min(b, i + 100)].tolist())) / (min(b, i + 100) - i) for i in range(a, b - 49, 100)]
-            variety[k] = sum(runs) / len(runs)
+        if b - a >= 50:  # distinct words of runs of 100, as the share falls with a text's length; the last run ends with it
+            size = min(100, b - a)
+            at = [*range(a, b - size, size), b - size]
+            variety[k] = sum(len(set(words[i : i + size].tolist())) for i in at) / (size * len(at))
         rows = data[offsets[k] : offsets[k + 1]].tobytes().split(b"\n")
         if len(rows) >= 4:
             lines[k] = 1 - len(set(rows)) / len(rows)
