@@ -260,6 +260,14 @@ def test_quality_accuracy(spark, table):
     assert kept.columns[-2:] == ["own", "score"] and kept.count() > 700
 
 
+def test_variety_is_read_to_the_last_word():
+    words = [f"word{k}" for k in range(26)] + ["word0"] * 74
+    def variety(some):
+        data = np.frombuffer(" ".join(some).encode(), np.uint8)
+        return quality.votes(data, np.array([0, len(data)]))[0][5, 0]
+    assert variety(words) == quality.NONE and variety(words + ["x"] * 49) == quality.BAD
+
+
 def test_subsequence_weights_equal_the_kernel():
     words = ["idiot", "idxiot", "stupid", "loser"]
     marks = toxicity.Landmarks(words)
