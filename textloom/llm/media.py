@@ -1,17 +1,19 @@
 """Copies of images by local descriptors: multiscale corners, oriented binary tests, Hamming tables, geometric consensus.
 
 An image is a grey raster. At each of ``SCALES`` the corners with the strongest structure (the smaller eigenvalue of the
-gradient matrix, largest in its neighbourhood) are taken, ``POINTS`` in all; each gets an orientation from its intensity
-centroid and ``BITS`` comparisons of smoothed intensities at places turned by it.
+gradient matrix, largest in its neighbourhood) are taken: one for each ``AREA`` pixels of the raster, ``FEWEST`` at least
+where there are so many. Each gets an orientation from its intensity centroid and ``BITS`` comparisons of smoothed
+intensities at places turned by it.
 
 Images with equal rasters become one node first. Two images are linked by descriptors within ``NEAR`` bits of each other
 and a consensus among them, that is a similarity transform (shift, turn, scale) that ``AGREE`` matches follow. Linked
-images form classes named by the smallest id. A descriptor's bits are cut into ``TABLES`` parts, and two neighbouring
-parts make a key. Pairs of images that meet in ``MEETINGS`` buckets are compared in full: first, in each bucket, every
-image with the smallest only (a star), which joins crowds of copies early, then all pairs of images that are still in
-different classes, without a cap. Two descriptors share a bucket for sure if fewer than ``TABLES // 2`` bits differ;
-with more it is a matter of where they differ, so a copy so altered that none of its corners keeps that is not met. The
-README states the recall against comparing all pairs.
+images form classes named by the smallest id. ``TABLES`` parts of a descriptor of ``WIDTH`` bits each make its keys.
+Descriptors that share a key meet in its bucket, and those over ``NEAR`` bits apart are left out in the join itself, on
+whole descriptors, before anything is shuffled. Pairs of images of which ``MEETINGS`` corners meet are compared in full:
+first, in a quarter of the buckets, every image with the smallest only (a star), which joins crowds of copies early, then
+all pairs of images that are still in different classes, in all buckets, without a cap. In a bucket that a crowd fills,
+its class meets the others' rows, never itself. A pair is missed if fewer than ``MEETINGS`` of its corners keep a key;
+the README states the recall against comparing all pairs.
 
 Defined cases: null, empty or undecodable images and images without corners have no link; repeated rows are copies; a
 null id takes part under no name; an empty table gives an empty result. Other columns are not read.
@@ -30,11 +32,16 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, tune
 from textloom.llm.components import components
 
-SCALES, POINTS, BITS, TABLES = (1.0, 0.7), 32, 128, 8
-PATCH, NEAR, AGREE, MEETINGS = 9, 24, 6, 2
+SCALES, AREA, FEWEST = (1.0, 0.84, 0.7), 576, 16
+BITS, TABLES, WIDTH = 128, 5, 24
+PATCH, NEAR, AGREE, MEETINGS = 12, 24, 6, 2
+#: Rows of a class in one bucket from which on the bucket isn't joined within that class. Changes the plan, not the result.
+CROWD = 8
+#: Places of proposed moves that one step of a consensus looks at.
+STEP = 1 << 18
 
 _RANDOM = np.random.default_rng(7)
-_PLACES = np.clip(_RANDOM.normal(0, PATCH / 2.2, (BITS, 4)), -PATCH + 1, PATCH - 1)
+_PLACES = np.clip(_RANDOM.normal(0, PATCH / 1.8, (BITS, 4)), -PATCH + 1, PATCH - 1)
 
 
 def pack(image: np.ndarray) -> bytes:
@@ -85,7 +92,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if dy or dx:
                     peak &= inner >= strength[edge + dy : h - edge + dy, edge + dx : w - edge + dx]
         ys, xs = np.nonzero(peak)
-        order = np.argsort(-inner[ys, xs], kind="stable")[: POINTS // len(SCALES)]
+        order = np.argsort(-inner[ys, xs], kind="stable")[: max(FEWEST, image.size // AREA)]
         ys, xs = ys[order] + edge, xs[order] + edge
         if not len(ys):
             continue
@@ -127,79 +134,118 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
 def _most(moves: np.ndarray, span: np.ndarray, theirs: np.ndarray, p: np.ndarray, q: np.ndarray, may: np.ndarray) -> int:
     """Matches that follow one of the proposed moves, counted by places apart; no further than ``AGREE`` tells."""
-    follows = np.abs(moves[:, :, None] * span[:, None] - theirs[:, None]) < 3.0
-    counts = np.where(may, follows.sum(2), 0)
-    most = 0
-    for at in np.argsort(-counts, axis=None).tolist():
-        k, j = divmod(at, counts.shape[1])
-        if counts[k, j] <= most or counts[k, j] < AGREE or most >= AGREE:
-            break
-        f = follows[k, j]
-        most = max(most, min(len(np.unique(np.rint(p[f, :2] / 2), axis=0)), len(np.unique(np.rint(q[f, :2] / 2), axis=0))))
+    most, rows = 0, max(1, STEP // moves.size)
+    for k in range(0, len(moves), rows):
+        part = slice(k, k + rows)
+        follows = np.abs(moves[part, :, None] * span[part, None] - theirs[part, None]) < 3.0
+        counts = np.where(may[part], follows.sum(2), 0)
+        for at in np.argsort(-counts, axis=None).tolist():
+            i, j = divmod(at, counts.shape[1])
+            if counts[i, j] <= most or counts[i, j] < AGREE:
+                break
+            f = follows[i, j]
+            most = max(most, min(len(np.unique(np.rint(p[f, :2] / 2), axis=0)), len(np.unique(np.rint(q[f, :2] / 2), axis=0))))
+            if most >= AGREE:
+                return most
     return most
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, places, bits, keys = [], [], [], []
+        digests, places, words = [], [], []
         for raw in batch.column(1).to_pylist():
             image = unpack(raw)
             p, d = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
             digests.append(hashlib.sha256(raw).digest()[:16] if image is not None else None)
             places.append(p.astype("<f4").tobytes())
-            bits.append(d.tobytes())
-            width = BITS // 8 // TABLES
-            found = d.reshape(len(d), TABLES, width)
-            number = sum(found[:, :, j].astype(np.int64) << (8 * j) for j in range(width)) * TABLES + np.arange(TABLES)
-            # two corners side by side share their quarter's key: a key is a table's bits and those of the next table
-            number = number * (1 << 8 * width) + np.roll(number, -1, 1) // TABLES
-            keys.append(np.unique(number).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(places, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["media_id", "digest", "places", "bits", "keys"])
+            words.append(np.ascontiguousarray(d).view(">i8").ravel().tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(places, pa.binary()), pa.array(words, pa.list_(pa.int64()))], names=["media_id", "digest", "places", "words"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        read = lambda p, b: (np.frombuffer(p, "<f4").reshape(-1, 4).astype(float), np.frombuffer(b, np.uint8).reshape(-1, BITS // 8))
-        hit = [k for k in range(len(rows["a"])) if max(consensus(x := read(rows["pa"][k], rows["ba"][k]), y := read(rows["pb"][k], rows["bb"][k])), consensus(y, x)) >= AGREE]
+        read = lambda p, w: (np.frombuffer(p, "<f4").reshape(-1, 4).astype(float), np.array(w, np.int64).reshape(-1, 2).view(np.uint64))
+        hit = [k for k in range(len(rows["a"])) if max(consensus(x := read(rows["pa"][k], rows["wa"][k]), y := read(rows["pb"][k], rows["wb"][k])), consensus(y, x)) >= AGREE]
         yield pa.RecordBatch.from_arrays([pa.array([rows["a"][k] for k in hit], pa.int64()), pa.array([rows["b"][k] for k in hit], pa.int64())], names=["a", "b"])
 
 
 def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    one = nodes.select(F.col("node").alias("b"), F.col("places").alias("pb"), F.col("bits").alias("bb"))
-    two = nodes.select(F.col("node").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("ba"))
-    return cut(pairs.join(one, "b").join(two, "a").select("a", "b", "pa", "ba", "pb", "bb").mapInArrow(_compared, "a long, b long"))
+    one = nodes.select(F.col("node").alias("b"), F.col("places").alias("pb"), F.col("words").alias("wb"))
+    two = nodes.select(F.col("node").alias("a"), F.col("places").alias("pa"), F.col("words").alias("wa"))
+    return cut(pairs.join(one, "b").join(two, "a").select("a", "b", "pa", "wa", "pb", "wb").mapInArrow(_compared, "a long, b long"))
 
 
-def _across(members: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """The links (a, b) of all pairs of nodes in different classes that meet in ``MEETINGS`` buckets or more.
+def corners(nodes: DataFrame) -> DataFrame:
+    """Rows (key, *columns, u, v) for each table and descriptor (two words u, v) of ``nodes`` (words, *columns)."""
+    rest = [c for c in nodes.columns if c != "words"]
+    pairs = "transform(sequence(0, size(words) div 2 - 1), i -> struct(words[2 * i] as u, words[2 * i + 1] as v))"
+    each = nodes.where(F.size("words") > 0).select(*rest, F.explode(F.expr(pairs)).alias("d"))
+    parts = [_bits_from(F.col("d.u"), F.col("d.v"), t * WIDTH) * TABLES + t for t in range(TABLES)]
+    return each.select(*rest, F.col("d.u").alias("u"), F.col("d.v").alias("v"), F.explode(F.array(*parts)).alias("key"))
 
-    Buckets of one class are left out first. A bucket in which several classes meet is joined with itself; pairs are
-    counted before the shuffle. Adaptive execution splits a bucket that is much larger than others.
+
+def _bits_from(u: F.Column, v: F.Column, at: int) -> F.Column:
+    """The ``WIDTH`` bits from place ``at`` of the 128 of two words, the first one highest."""
+    mask, low = F.lit((1 << WIDTH) - 1).cast("long"), 64 - at - WIDTH
+    if low >= 0:
+        return F.shiftrightunsigned(u, low).bitwiseAND(mask)
+    if at >= 64:
+        return F.shiftrightunsigned(v, 128 - at - WIDTH).bitwiseAND(mask)
+    return F.shiftleft(u, -low).bitwiseOR(F.shiftrightunsigned(v, 64 + low)).bitwiseAND(mask)
+
+
+def _near(x: str, y: str) -> F.Column:
+    """Whether two descriptors are within ``NEAR`` bits of each other."""
+    differ = lambda w: F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}")))
+    return differ("u") + differ("v") <= NEAR
+
+
+def _met(meetings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``meetings`` (a, b, corner) that meet with ``MEETINGS`` (two) different corners of b."""
+    return cut(meetings.groupBy("a", "b").agg(F.min("corner").alias("c1"), F.max("corner").alias("c2")).where("c1 < c2").select("a", "b"))
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """The links (a, b) of nodes with the smallest one of their bucket, in the quarter of the buckets with the least hashes."""
+    few = corners(nodes.select("node", "words")).where(F.pmod(F.xxhash64("key"), F.lit(4)) == 0)
+    centres = few.groupBy("key").agg(F.min(F.struct("node", "u", "v")).alias("x"), F.count("*").alias("n")).where("n > 1").select("key", "x")
+    met = few.select("key", F.struct("node", "u", "v").alias("y")).join(centres, "key").where((F.col("x.node") < F.col("y.node")) & _near("x", "y"))
+    return _links(_met(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.xxhash64("y.u", "y.v").alias("corner"))), nodes)
+
+
+def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """The links (a, b) of all pairs of nodes in different classes that meet in their buckets.
+
+    Each pair of rows of a bucket has one outside the bucket's crowd, if it has a crowd, as both would be in one class
+    else; so the rows outside are joined with all. Adaptive execution splits a bucket that is much larger than others.
     """
-    placed = members.select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    placed = cut(placed.join(spread, "key", "left_semi"))
-    one, two = (placed.select("key", F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
-    met = one.join(two, "key").where("a < b and ca != cb").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return _links(cut(met.where(F.col("n") >= MEETINGS).select("a", "b")), nodes)
+    placed = nodes.select("node", "words").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "words", F.col("component").isNotNull().alias("linked"))
+    rows = corners(placed)
+    crowds = rows.where("linked").groupBy("key", "class").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
+    crowds = cut(crowds.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("crowd")))
+    rows = rows.drop("linked").join(crowds, "key", "left")
+    one, two = (rows.select("key", F.struct("node", "class", "u", "v").alias(n), F.coalesce(F.col("class") == F.col("crowd"), F.lit(False)).alias(f"in_{n}")) for n in ("x", "y"))
+    pairs = one.where("not in_x").join(two, "key").where((F.col("in_y") | (F.col("x.node") < F.col("y.node"))) & (F.col("x.class") != F.col("y.class")) & _near("x", "y"))
+    swap = F.col("x.node") > F.col("y.node")
+    low, high = (F.when(swap, F.col(m)).otherwise(F.col(n)) for m, n in (("y", "x"), ("x", "y")))
+    met = pairs.select(low.getField("node").alias("a"), high.getField("node").alias("b"), F.xxhash64(high.getField("u"), high.getField("v")).alias("corner"))
+    return _links(_met(met), nodes)
 
 
 def copies(media: DataFrame) -> DataFrame:
     """Rows (media_id, class_id, n_links) for every row of ``media`` (media_id, image); n_links: links found of its node."""
     tune(media.sparkSession)
     media = media.select(F.col("media_id").cast("long").alias("media_id"), F.col("image").cast("binary").alias("image"))
-    found = cut(media.mapInArrow(_described, "media_id long, digest binary, places binary, bits binary, keys array<long>"))
-    nodes = cut(found.where("digest is not null and media_id is not null").groupBy("digest").agg(F.min("media_id").alias("node"), F.first("places").alias("places"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    every = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = cut(every.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"))
-    members = cut(every.join(hubs, "key").select("key", "node", "centre"))  # most keys are met by one image only
-    met = members.where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("a", "b")
-    links = _links(cut(met), nodes)
-    links = cut(links.union(_across(members, nodes, cut(components(links, "a", "b")))))
+    found = media.mapInArrow(_described, "media_id long, digest binary, places binary, words array<long>")
+    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
+    firsts = cut(found.where("digest is not null and media_id is not null").groupBy("digest").agg(F.min(F.struct("media_id", "row")).alias("f")).select("digest", F.col("f.media_id").alias("node"), F.col("f.row").alias("row")))
+    nodes = found.select("row", "places", "words").join(firsts.select("row", "node"), "row").select("node", "places", "words")
+    stars = _stars(nodes)
+    links = cut(stars.union(_across(nodes, cut(components(stars, "a", "b")))))
     named = cut(components(links, "a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    classes = cut(nodes.select("digest", "node").join(named, "node", "left").join(degree, "node", "left").select("digest", F.coalesce("component", "node").alias("class"), F.coalesce("count", F.lit(0)).cast("long").alias("n")))
+    classes = cut(firsts.select("digest", "node").join(named, "node", "left").join(degree, "node", "left").select("digest", F.coalesce("component", "node").alias("class"), F.coalesce("count", F.lit(0)).cast("long").alias("n")))
     out = found.select("media_id", "digest").join(classes, "digest", "left")
     return out.select("media_id", F.coalesce("class", "media_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
