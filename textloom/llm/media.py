@@ -10,7 +10,7 @@ and a consensus among them, that is a similarity transform (shift, turn, scale)
 images form classes named by the smallest id. ``TABLES`` parts of a descriptor of ``WIDTH`` bits each make its keys.
 Descriptors that share a key meet in its bucket, and those over ``NEAR`` bits apart are left out in the join itself, on
 whole descriptors, before anything is shuffled. Pairs of images of which ``MEETINGS`` corners meet are compared in full:
-first, in a quarter of the buckets, every image with the smallest only (a star), which joins crowds of copies early, then
+first, in one of eight buckets, every image with the smallest only (a star), which joins crowds of copies early, then
 all pairs of images that are still in different classes, in all buckets, without a cap. In a bucket that a crowd fills,
 its class meets the others' rows, never itself. A pair is missed if fewer than ``MEETINGS`` of its corners keep a key;
 the README states the recall against comparing all pairs.
@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, tune
+from textloom.llm.common import cut, row_count_up_to, tune
 from textloom.llm.components import components
 
 SCALES, AREA, FEWEST = (1.0, 0.84, 0.7), 576, 16
 BITS, TABLES, WIDTH = 128, 5, 24
 PATCH, NEAR, AGREE, MEETINGS = 12, 24, 6, 2
-#: Rows of a class in one bucket from which on the bucket isn't joined within that class. Changes the plan, not the result.
+#: Size of a class, and rows of it in one bucket, from which on the bucket isn't joined within that class. Changes the plan, not the result.
 CROWD = 8
+#: Ids of 8 bytes up to which those of a set of pairs are broadcast.
+BROADCAST_IDS = 500_000
 #: Places of proposed moves that one step of a consensus looks at.
 STEP = 1 << 18
 
@@ -171,6 +173,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree. Only what is in a pair is shuffled, by ids that are broadcast while few."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = nodes.join(F.broadcast(ids) if row_count_up_to(ids, BROADCAST_IDS) <= BROADCAST_IDS else ids, "node", "left_semi")
     one = nodes.select(F.col("node").alias("b"), F.col("places").alias("pb"), F.col("words").alias("wb"))
     two = nodes.select(F.col("node").alias("a"), F.col("places").alias("pa"), F.col("words").alias("wa"))
     return cut(pairs.join(one, "b").join(two, "a").select("a", "b", "pa", "wa", "pb", "wb").mapInArrow(_compared, "a long, b long"))
@@ -207,8 +212,8 @@ def _met(meetings: DataFrame) -> DataFrame:
 
 
 def _stars(nodes: DataFrame) -> DataFrame:
-    """The links (a, b) of nodes with the smallest one of their bucket, in the quarter of the buckets with the least hashes."""
-    few = corners(nodes.select("node", "words")).where(F.pmod(F.xxhash64("key"), F.lit(4)) == 0)
+    """The links (a, b) of nodes with the smallest one of their bucket, in one of eight buckets by hash."""
+    few = corners(nodes.select("node", "words")).where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0)
     centres = few.groupBy("key").agg(F.min(F.struct("node", "u", "v")).alias("x"), F.count("*").alias("n")).where("n > 1").select("key", "x")
     met = few.select("key", F.struct("node", "u", "v").alias("y")).join(centres, "key").where((F.col("x.node") < F.col("y.node")) & _near("x", "y"))
     return _links(_met(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.xxhash64("y.u", "y.v").alias("corner"))), nodes)
@@ -220,11 +225,13 @@ def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
     Each pair of rows of a bucket has one outside the bucket's crowd, if it has a crowd, as both would be in one class
     else; so the rows outside are joined with all. Adaptive execution splits a bucket that is much larger than others.
     """
-    placed = nodes.select("node", "words").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "words", F.col("component").isNotNull().alias("linked"))
-    rows = corners(placed)
-    crowds = rows.where("linked").groupBy("key", "class").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
+    large = named.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
+    large = cut(named.join(large.select("component"), "component", "left_semi").select("node", F.col("component").alias("class")))
+    crowds = corners(nodes.select("node", "words").join(large, "node").select("class", "words"))
+    crowds = crowds.groupBy("key", "class").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     crowds = cut(crowds.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("crowd")))
-    rows = rows.drop("linked").join(crowds, "key", "left")
+    placed = nodes.select("node", "words").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "words")
+    rows = corners(placed).join(crowds, "key", "left")
     one, two = (rows.select("key", F.struct("node", "class", "u", "v").alias(n), F.coalesce(F.col("class") == F.col("crowd"), F.lit(False)).alias(f"in_{n}")) for n in ("x", "y"))
     pairs = one.where("not in_x").join(two, "key").where((F.col("in_y") | (F.col("x.node") < F.col("y.node"))) & (F.col("x.class") != F.col("y.class")) & _near("x", "y"))
     swap = F.col("x.node") > F.col("y.node")
