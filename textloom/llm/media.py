@@ -223,7 +223,7 @@ def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
     """The links (a, b) of all pairs of nodes in different classes that meet in their buckets.
 
     Each pair of rows of a bucket has one outside the bucket's crowd, if it has a crowd, as both would be in one class
-    else; so the rows outside are joined with all. Adaptive execution splits a bucket that is much larger than others.
+    else; so the rows outside are joined with each other and with the crowd. Adaptive execution splits a bucket that is much larger than others.
     """
     large = named.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     large = cut(named.join(large.select("component"), "component", "left_semi").select("node", F.col("component").alias("class")))
@@ -231,9 +231,11 @@ def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
     crowds = crowds.groupBy("key", "class").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     crowds = cut(crowds.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("crowd")))
     placed = nodes.select("node", "words").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "words")
-    rows = corners(placed).join(crowds, "key", "left")
-    one, two = (rows.select("key", F.struct("node", "class", "u", "v").alias(n), F.coalesce(F.col("class") == F.col("crowd"), F.lit(False)).alias(f"in_{n}")) for n in ("x", "y"))
-    pairs = one.where("not in_x").join(two, "key").where((F.col("in_y") | (F.col("x.node") < F.col("y.node"))) & (F.col("x.class") != F.col("y.class")) & _near("x", "y"))
+    rows = corners(placed).join(crowds, "key", "left").withColumn("inside", F.coalesce(F.col("class") == F.col("crowd"), F.lit(False)))
+    side = lambda inside, n: rows.where(F.col("inside") == inside).select("key", F.struct("node", "class", "u", "v").alias(n))
+    # what is outside is read twice, but shuffled once
+    pairs = side(False, "x").join(side(False, "y"), "key").where(F.col("x.node") < F.col("y.node"))
+    pairs = pairs.unionAll(side(False, "x").join(side(True, "y"), "key")).where((F.col("x.class") != F.col("y.class")) & _near("x", "y"))
     swap = F.col("x.node") > F.col("y.node")
     low, high = (F.when(swap, F.col(m)).otherwise(F.col(n)) for m, n in (("y", "x"), ("x", "y")))
     met = pairs.select(low.getField("node").alias("a"), high.getField("node").alias("b"), F.xxhash64(high.getField("u"), high.getField("v")).alias("corner"))
