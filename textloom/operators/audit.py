@@ -93,10 +93,12 @@ def policy_audit(docs: DataFrame, config: PolicyConfig | None = None, text: str
     return add(docs, "audit", AUDIT, lambda t, name: _result(*K.policy_refine(t, name, config)), text, source)
 
 
-def segments(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with column ``segments`` (see SEGMENTS): sentences and paragraphs of the raw text."""
+def segments(docs: DataFrame, text: str = "text", cut: Callable[[str], dict] | None = None) -> DataFrame:
+    """``docs`` with column ``segments`` (see SEGMENTS): sentences and paragraphs of the raw text, or as ``cut`` gives them."""
 
     def make(t: str, _: str | None) -> dict:
+        if cut:
+            return cut(t)
         s = Segments(t)
         opening = lambda i, n: f"{s.token(i)} {s.token(i + 1)}" if n > 1 else None
         return {
@@ -215,9 +217,9 @@ def texture(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     )
 
 
-def openings(docs: DataFrame, keep: list[str], text: str = "text", least: int = 3) -> DataFrame:
+def openings(docs: DataFrame, keep: list[str], text: str = "text", least: int = 3, cut: Callable[[str], dict] | None = None) -> DataFrame:
     """Rows (keep..., opening, n): two lower-cased first words that ``least`` sentences of a row share."""
-    s = segments(docs, text)
+    s = segments(docs, text, cut)
     said = F.array_sort(F.filter(F.col(f"{column_of(s)}.sentences.opening"), lambda x: x.isNotNull()))
     nothing = F.expr("named_struct('last', cast(null as string), 'n', 0, 'found', cast(array() as array<struct<opening:string,n:int>>))")
     closed = lambda s: F.when(s.n >= least, F.concat(s.found, F.array(F.struct(s["last"].alias("opening"), s.n.alias("n"))))).otherwise(s.found)
