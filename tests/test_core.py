@@ -265,7 +265,7 @@ def test_queries_on_odd_texts(spark, tmp_path):
     table(spark, *texts).withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    for name in ("false_ranges", "repeated_openings"):
+    for name in ("false_ranges", "texture", "repeated_openings"):
         found = queries.QUERIES[name](spark, str(tmp_path))
         columns = ", ".join(found.columns)
         assert sorted(map(tuple, found.collect())) == con.execute(f"SELECT {columns} FROM ({queries.SQL[name]}) ORDER BY ALL").fetchall(), name

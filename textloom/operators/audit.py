@@ -199,15 +199,19 @@ def metrics(audited: DataFrame, keep: list[str], text: str = "text") -> DataFram
     )
 
 
-def texture(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def texture(docs: DataFrame, keep: list[str], text: str = "text", cut: Callable[[str], dict] | None = None) -> DataFrame:
     """Sentence and paragraph lengths, contractions, direct address, numbers and asides of every row."""
     from textloom.functions import text as T
 
-    s = segments(docs, text)
+    s = segments(docs, text, cut)
     made, t = column_of(s), F.coalesce(F.col(text), F.lit(""))
     lengths = F.col(f"{made}.sentences.words")
     mean = F.coalesce(F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(lengths), F.lit(0)), F.lit(0.0))
-    spread = F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.size(lengths), F.lit(0)))
+    # the running form, as SQL's stddev_pop takes it: a sum of squares by itself can fall on the other side of a half
+    moved = lambda a, x: a["mean"] + (x - a["mean"]) / (a.n + 1)
+    step = lambda a, x: F.struct((a.n + 1).alias("n"), moved(a, x).alias("mean"), (a.squares + (x - moved(a, x)) * (x - a["mean"])).alias("squares"))
+    nothing = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    spread = F.aggregate(lengths, nothing, step, lambda a: F.sqrt(a.squares / F.nullif(a.n, F.lit(0.0))))
     d = s.withColumn("mean", mean)
     cv = F.when((F.col("mean") == 0) | (F.size(lengths) < 2), F.lit(0.0)).otherwise(spread / F.col("mean"))
     least = lambda f: F.coalesce(f(lengths), F.lit(0))
