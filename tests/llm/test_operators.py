@@ -391,3 +391,18 @@ def test_media_copies_scaled_turned_and_cropped(spark):
     print("recall by edit:", share)
     assert all(got[i] % 1000 == i % 1000 for i in got) and min(share.values()) >= 0.9, share
     assert media.copies(table.limit(0)).count() == 0
+
+
+def test_what_is_outside_a_crowd_is_shuffled_once(spark):
+    nodes = spark.createDataFrame([(i, b"", [i, -i, 5, 7]) for i in range(40)], "node long, places binary, words array<long>")
+    named = spark.createDataFrame([(i, 0) for i in range(9)], "node long, component long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = media._meetings(nodes, named)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(re.findall(r"- Exchange hashpartitioning\(key", plan)) == 2, plan  # corners, and crowds

@@ -219,8 +219,8 @@ def _stars(nodes: DataFrame) -> DataFrame:
     return _links(_met(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.xxhash64("y.u", "y.v").alias("corner"))), nodes)
 
 
-def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """The links (a, b) of all pairs of nodes in different classes that meet in their buckets.
+def _meetings(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (a, b, corner) for all pairs of nodes in different classes that meet in their buckets.
 
     Each pair of rows of a bucket has one outside the bucket's crowd, if it has a crowd, as both would be in one class
     else; so the rows outside are joined with each other and with the crowd. Adaptive execution splits a bucket that is much larger than others.
@@ -230,16 +230,16 @@ def _across(nodes: DataFrame, named: DataFrame) -> DataFrame:
     crowds = corners(nodes.select("node", "words").join(large, "node").select("class", "words"))
     crowds = crowds.groupBy("key", "class").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     crowds = cut(crowds.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("crowd")))
-    placed = nodes.select("node", "words").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "words")
+    # no node is null; said here, as the first join says so of what it reads, and a plan that differs in that isn't shared
+    placed = nodes.where("node is not null").select("node", "words").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "words")
     rows = corners(placed).join(crowds, "key", "left").withColumn("inside", F.coalesce(F.col("class") == F.col("crowd"), F.lit(False)))
     side = lambda inside, n: rows.where(F.col("inside") == inside).select("key", F.struct("node", "class", "u", "v").alias(n))
-    # what is outside is read twice, but shuffled once
+    # what is outside is read three times, but shuffled once
     pairs = side(False, "x").join(side(False, "y"), "key").where(F.col("x.node") < F.col("y.node"))
     pairs = pairs.unionAll(side(False, "x").join(side(True, "y"), "key")).where((F.col("x.class") != F.col("y.class")) & _near("x", "y"))
     swap = F.col("x.node") > F.col("y.node")
     low, high = (F.when(swap, F.col(m)).otherwise(F.col(n)) for m, n in (("y", "x"), ("x", "y")))
-    met = pairs.select(low.getField("node").alias("a"), high.getField("node").alias("b"), F.xxhash64(high.getField("u"), high.getField("v")).alias("corner"))
-    return _links(_met(met), nodes)
+    return pairs.select(low.getField("node").alias("a"), high.getField("node").alias("b"), F.xxhash64(high.getField("u"), high.getField("v")).alias("corner"))
 
 
 def copies(media: DataFrame) -> DataFrame:
@@ -251,7 +251,8 @@ def copies(media: DataFrame) -> DataFrame:
     firsts = cut(found.where("digest is not null and media_id is not null").groupBy("digest").agg(F.min(F.struct("media_id", "row")).alias("f")).select("digest", F.col("f.media_id").alias("node"), F.col("f.row").alias("row")))
     nodes = found.select("row", "places", "words").join(firsts.select("row", "node"), "row").select("node", "places", "words")
     stars = _stars(nodes)
-    links = cut(stars.union(_across(nodes, cut(components(stars, "a", "b")))))
+    across = _links(_met(_meetings(nodes, cut(components(stars, "a", "b")))), nodes)
+    links = cut(stars.union(across))
     named = cut(components(links, "a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     classes = cut(firsts.select("digest", "node").join(named, "node", "left").join(degree, "node", "left").select("digest", F.coalesce("component", "node").alias("class"), F.coalesce("count", F.lit(0)).cast("long").alias("n")))
