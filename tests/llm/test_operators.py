@@ -406,3 +406,8 @@ def test_what_is_outside_a_crowd_is_shuffled_once(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(re.findall(r"- Exchange hashpartitioning\(key", plan)) == 2, plan  # corners, and crowds
+
+
+def test_decontamination_takes_one_worker_a_task(spark):
+    found = decontam.contamination(docs(spark, ["a b"]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and found.first().contaminated

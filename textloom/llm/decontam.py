@@ -121,6 +121,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _HITS = "doc_id long, row long, n_words long, ranges array<struct<a:long,b:long>>, items array<long>"
+_DIGESTS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -154,6 +155,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _scan_and_digest(block: list[tuple[int, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digest(x.select(["doc_id", "n_words", "ranges", "items"]) for x in _scan(block)(batches))
+
+    return run
+
+
 def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``chars`` characters (or one item); one block is on the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
@@ -174,16 +182,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHAR
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     blocks_of = item_blocks(benchmark, chars)
     first, second = next(blocks_of, []), next(blocks_of, None)
-    if second is None:
-        scans = [docs.mapInArrow(_scan(first), _HITS)]
-    else:  # each pass is written before the next block is read; rows are told apart by text as well, as ids may repeat
-        docs = docs.withColumn("row", F.xxhash64("text"))
-        scans = [cut(docs.mapInArrow(_scan(block), _HITS)) for block in itertools.chain([first, second], blocks_of)]
+    if second is None:  # one function: each Python function of a task takes a worker, which stays with its memory
+        return docs.mapInArrow(_scan_and_digest(first), _DIGESTS)
+    # each pass is written before the next block is read; rows are told apart by text as well, as ids may repeat
+    docs = docs.withColumn("row", F.xxhash64("text"))
+    scans = [cut(docs.mapInArrow(_scan(block), _HITS)) for block in itertools.chain([first, second], blocks_of)]
     hits = scans[0]
-    if len(scans) > 1:
-        for scan in scans[1:]:
-            hits = hits.unionAll(scan)
-        grouped = hits.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("copies"))
-        copies = F.expr(f"explode(sequence(1, cast(copies / {len(scans)} as int)))")
-        hits = grouped.select("doc_id", "row", "n_words", "ranges", "items", copies.alias("copy"))
-    return hits.select("doc_id", "n_words", "ranges", "items").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    for scan in scans[1:]:
+        hits = hits.unionAll(scan)
+    grouped = hits.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("copies"))
+    copies = F.expr(f"explode(sequence(1, cast(copies / {len(scans)} as int)))")
+    hits = grouped.select("doc_id", "row", "n_words", "ranges", "items", copies.alias("copy"))
+    return hits.select("doc_id", "n_words", "ranges", "items").mapInArrow(_digest, _DIGESTS)
