@@ -393,6 +393,15 @@ def test_media_copies_scaled_turned_and_cropped(spark):
     assert media.copies(table.limit(0)).count() == 0
 
 
+def test_corners_of_unrelated_images_seldom_meet(spark):
+    rng = np.random.default_rng(23)
+    made = [(i, media.describe(media.render(rng.normal(size=8)))) for i in range(400)]
+    rows = [(i, b"", np.ascontiguousarray(d[1]).view(">i8").ravel().tolist()) for i, d in made]
+    nodes = spark.createDataFrame(rows, "node long, places binary, words array<long>")
+    named = spark.createDataFrame([], "node long, component long")
+    assert media._meetings(nodes, named).count() <= 80  # of 79,800 pairs of images
+
+
 def test_what_is_outside_a_crowd_is_shuffled_once(spark):
     nodes = spark.createDataFrame([(i, b"", [i, -i, 5, 7]) for i in range(40)], "node long, places binary, words array<long>")
     named = spark.createDataFrame([(i, 0) for i in range(9)], "node long, component long")

@@ -3,7 +3,8 @@
 An image is a grey raster. At each of ``SCALES`` the corners with the strongest structure (the smaller eigenvalue of the
 gradient matrix, largest in its neighbourhood) are taken: one for each ``AREA`` pixels of the raster, ``FEWEST`` at least
 where there are so many. Each gets an orientation from its intensity centroid and ``BITS`` comparisons of smoothed
-intensities at places turned by it.
+intensities at places turned by it. The places are chosen so that comparisons tell different things (``tests``), as the
+corners of unrelated images that share a key by chance are as many as the square of the images, times that chance.
 
 Images with equal rasters become one node first. Two images are linked by descriptors within ``NEAR`` bits of each other
 and a consensus among them, that is a similarity transform (shift, turn, scale) that ``AGREE`` matches follow. Linked
@@ -21,6 +22,7 @@ null id takes part under no name; an empty table gives an empty result. Other co
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,8 +44,33 @@ BROADCAST_IDS = 500_000
 #: Places of proposed moves that one step of a consensus looks at.
 STEP = 1 << 18
 
-_RANDOM = np.random.default_rng(7)
-_PLACES = np.clip(_RANDOM.normal(0, PATCH / 1.8, (BITS, 4)), -PATCH + 1, PATCH - 1)
+#: Comparisons that are chosen from, what a changed bit counts against likeness, and sizes of what smooth random images show.
+CHOICE, STEADY, GRAINS = 4000, 5.0, (3, 5)
+
+
+@functools.cache
+def tests() -> np.ndarray:
+    """Pairs of places (x, y, x', y') to compare: of random ones in the disk around a corner those that are least alike.
+
+    In a smooth random image two differences of intensities correlate as their four places are near each other. One
+    after another, the pair is taken that is least alike those taken, by what their bits share, and whose bit seldom
+    changes as the image is moved by a pixel, turned or scaled a little; then each is chosen once more, twice, beside all others.
+    """
+    rng = np.random.default_rng(7)
+    a, b = (PATCH + 1) * np.sqrt(rng.uniform(0, 1, (2, CHOICE))) * np.exp(2j * np.pi * rng.uniform(0, 1, (2, CHOICE)))
+    near = lambda x, y: sum(np.exp(-(np.abs(x - y) ** 2) / (2 * g * g)) for g in GRAINS) / len(GRAINS)
+    size = lambda x, y: 2 - 2 * near(x, y)
+    alike = lambda c, d: (near(a, c) - near(a, d) - near(b, c) + near(b, d)) / np.sqrt(size(a, b) * size(c, d) + 1e-9)
+    moved = [alike(a * m, b * m) for m in (1.09, 0.91, np.exp(0.12j))] + [alike(a + m, b + m) for m in (1, 1j)]
+    cost = STEADY * np.mean([np.arccos(np.clip(x / (1 + 0.04 / size(a, b)), -1, 1)) for x in moved], 0) / np.pi
+    shared = lambda i: (np.arcsin(np.clip(alike(a[i], b[i]), -1, 1)) * 2 / np.pi) ** 2 + np.where(np.arange(CHOICE) == i, 1e3, 0)
+    taken: list[int] = []
+    for step in range(3 * BITS):
+        if step >= BITS:
+            cost = cost - shared(taken.pop(0))
+        taken.append(int(np.argmin(cost)))
+        cost = cost + shared(taken[-1])
+    return np.stack([a.real, a.imag, b.real, b.imag], 1)[taken]
 
 
 def pack(image: np.ndarray) -> bytes:
@@ -59,10 +86,11 @@ def unpack(raw: bytes | None) -> np.ndarray | None:
     return np.frombuffer(raw[4:], np.uint8).reshape(h, w) if h and w and len(raw) == 4 + h * w else None
 
 
-def _smooth(x: np.ndarray) -> np.ndarray:
-    x = np.pad(x, 2, mode="edge")
-    x = (x[:-4] + 4 * x[1:-3] + 6 * x[2:-2] + 4 * x[3:-1] + x[4:]) / 16
-    return (x[:, :-4] + 4 * x[:, 1:-3] + 6 * x[:, 2:-2] + 4 * x[:, 3:-1] + x[:, 4:]) / 16
+def _smooth(x: np.ndarray, step: int = 1) -> np.ndarray:
+    """Binomial weights of five places each way, ``step`` apart."""
+    x, k = np.pad(x, 2 * step, mode="edge"), step
+    x = (x[: -4 * k] + 4 * x[k : -3 * k] + 6 * x[2 * k : -2 * k] + 4 * x[3 * k : -k] + x[4 * k :]) / 16
+    return (x[:, : -4 * k] + 4 * x[:, k : -3 * k] + 6 * x[:, 2 * k : -2 * k] + 4 * x[:, 3 * k : -k] + x[:, 4 * k :]) / 16
 
 
 def resize(image: np.ndarray, scale: float) -> np.ndarray:
@@ -103,8 +131,9 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         patch = level[ys[:, None, None] + r[:, None], xs[:, None, None] + r] * disk
         angle = np.arctan2((patch * r[:, None]).sum((1, 2)), (patch * r[None]).sum((1, 2)))
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        at = lambda px, py: level[np.clip(np.rint(ys[:, None] + s * px + c * py), 0, h - 1).astype(int), np.clip(np.rint(xs[:, None] + c * px - s * py), 0, w - 1).astype(int)]
-        bits.append(at(_PLACES[:, 0], _PLACES[:, 1]) < at(_PLACES[:, 2], _PLACES[:, 3]))
+        soft, pairs = _smooth(level, 2), tests()
+        at = lambda px, py: soft[np.clip(np.rint(ys[:, None] + s * px + c * py), 0, h - 1).astype(int), np.clip(np.rint(xs[:, None] + c * px - s * py), 0, w - 1).astype(int)]
+        bits.append(at(pairs[:, 0], pairs[:, 1]) < at(pairs[:, 2], pairs[:, 3]))
         places.append(np.stack([xs / scale, ys / scale, np.full(len(xs), 1 / scale), angle], 1))
     if not bits:
         return np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
