@@ -402,6 +402,16 @@ def test_corners_of_unrelated_images_seldom_meet(spark):
     assert media._meetings(nodes, named).count() <= 80  # of 79,800 pairs of images
 
 
+def test_scaled_copies_between_the_levels_keep_corners():
+    rng = np.random.default_rng(29)
+    found = []
+    for _ in range(60):
+        one = media.resize(rng.uniform(0, 255, (32, 32)), 4.0)
+        a, b = (media.describe(np.clip(x, 0, 255).astype(np.uint8)) for x in (one, media.resize(one, 0.75)))
+        found.append(_meetings(a, b) >= media.MEETINGS and max(media.consensus(a, b), media.consensus(b, a)) >= media.AGREE)
+    assert np.mean(found) >= 0.8
+
+
 def test_what_is_outside_a_crowd_is_shuffled_once(spark):
     nodes = spark.createDataFrame([(i, b"", [i, -i, 5, 7]) for i in range(40)], "node long, places binary, words array<long>")
     named = spark.createDataFrame([(i, 0) for i in range(9)], "node long, component long")
